@@ -49,7 +49,7 @@ class ArchiveFile:
         self.fs, self.base = opened(folder)
         self.fs.create_dir(self.base, recursive=True)
         self.name = f"{uuid.uuid4().hex}{suffix}"
-        self.out = self.fs.open_output_stream(f"{self.base}/{self.name}")
+        self.out = self.fs.open_output_stream(f"{self.base}/{self.name}", compression=None)
         self.offsets: list[int] = []
         self.at = 0
 

@@ -58,7 +58,9 @@ class Pieces:
         self.surface = {i: p.replace(BAR, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.longest = max(map(len, self.ids))
         self.inside = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        self.self_coded: dict[str, bool] = {}
+        # Pieces that encode to themselves, and all beginnings of theirs.
+        self.coded = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
+        self.starts = {p[:i] for p in self.coded for i in range(1, len(p) + 1)}
         self.side_by_side: dict[tuple[str, str], bool] = {}
         # Words can be told apart by spaces and line ends if no piece goes across them.
         self.by_words = not any("\n" in x or (x[1] == BAR and x[0] != BAR) for x in self.inside)
@@ -74,11 +76,6 @@ class Pieces:
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def alone(self, piece: str) -> bool:
-        if (found := self.self_coded.get(piece)) is None:
-            found = self.self_coded[piece] = len(piece) == 1 or (piece in self.ids and self.merged(piece) == [piece])
-        return found
-
     def fits(self, a: str, b: str) -> bool:
         """Weight 0 rather than minus infinity."""
         if a[-1] + b[0] not in self.inside:
@@ -92,15 +89,22 @@ class Pieces:
     def forward(self, text: str, begin: int, end: int, before: str | None) -> list[str | None]:
         """For each place up to end, the piece that ends there on the finite path from begin (after piece `before`), if any."""
         last: list[str | None] = [None] * (end + 1)
-        for i in range(begin + 1, end + 1):
-            for j in range(max(begin, i - self.longest), i):
-                left = last[j] if j > begin else before
-                if j > begin and left is None:
-                    continue
+        coded, starts, inside, known = self.coded, self.starts, self.inside, self.side_by_side
+        for j in range(begin, end):
+            if (left := last[j]) is None and j > begin:
+                continue
+            if left is None:
+                left = before
+            free = left is None or left[-1] + text[j] not in inside
+            if last[j + 1] is None and (free or self.fits(left, text[j])):
+                last[j + 1] = text[j]
+            for i in range(j + 2, min(end, j + self.longest) + 1):
                 piece = text[j:i]
-                if (i - j == 1 or piece in self.ids) and self.alone(piece) and (left is None or self.fits(left, piece)):
-                    last[i] = piece
+                if piece not in starts:
                     break
+                if piece in coded and last[i] is None:
+                    if free or (fit := known.get((left, piece))) or (fit is None and self.fits(left, piece)):
+                        last[i] = piece
         return last
 
     def back(self, last: list[str | None], begin: int, end: int) -> list[str]:
@@ -156,7 +160,7 @@ class Pieces:
 
     def states(self, s: str, cut: int) -> list[tuple[int, int]]:
         """Places, from the cut, of the pieces that may cover the character before it."""
-        return [(a - cut, b - cut) for a in range(max(0, cut - self.longest), cut) for b in range(cut, min(len(s), a + self.longest) + 1) if (b - a == 1 or s[a:b] in self.ids) and self.alone(s[a:b])]
+        return [(a - cut, b - cut) for a in range(max(0, cut - self.longest), cut) for b in range(cut, min(len(s), a + self.longest) + 1) if b - a == 1 or s[a:b] in self.coded]
 
     def forced(self, s: str, begin: int, end: int) -> int:
         """The first place from begin on where no piece can cross, or end."""

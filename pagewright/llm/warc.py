@@ -119,10 +119,10 @@ class Stream:
             data = self.gz.unconsumed_tail
             if not data and self.at < self.end and not self.gz.eof:
                 data = self._raw()
-            if not data and (self.gz.eof or self.at >= self.end):
-                return b""
-            if out := self.gz.decompress(data, most):
+            if out := self.gz.decompress(data, most):  # without data, what it still holds back
                 return out
+            if self.gz.eof or (not data and self.at >= self.end):
+                return b""
 
     def head(self) -> dict[str, str]:
         data = b""
