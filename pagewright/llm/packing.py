@@ -29,7 +29,7 @@ from pagewright.session import stored
 
 CAPACITY, CLOSE = 4096, 1
 #: Hash buckets in which ranks are counted; words that a worker remembers; entries of a plan that may go to every task.
-BUCKETS, MEMORY, MOST_STEPS = 256, 600_000, 4_000_000
+BUCKETS, MEMORY, MOST_STEPS = 256, 1_000_000, 4_000_000
 
 
 def default_tokenizer() -> str:
@@ -47,20 +47,46 @@ class Words:
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.stops = {c: np.array(self.model.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
 
     def packed(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts).difference(self.known)) if parts else []
-        extra = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
-        if len(self.known) + len(extra) <= MEMORY:
-            self.known.update(extra)
-            extra = {}
         known = self.known
-        if extra:
-            get = lambda w: known[w] if w in known else extra[w]
-            return [b"".join(map(get, p)) for p in parts]
+        if new := set().union(*parts).difference(known):
+            extra = self.encoded(new)
+            if len(known) + len(extra) <= MEMORY:
+                known.update(extra)
+            else:
+                return [b"".join([known[w] if w in known else extra[w] for w in p]) for p in parts]
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
+    def encoded(self, new: set[str]) -> dict[str, bytes]:
+        """Many new words are known ones with a capital or a stop: letters and stops are coded apart, in lower case."""
+        known, stops, plain, odd = self.known, self.stops, {}, []
+        for w in new:
+            stem, stop = (w[:-1], stops[w[-1]]) if w[-1] in stops else (w, b"")
+            if stem.isalpha() and not ("Σ" in stem or "İ" in stem):
+                plain[w] = stem.lower(), stop
+            else:
+                odd.append(w)
+        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(odd, self.model.encode_batch_fast(odd, add_special_tokens=False), strict=True)}
+        stems = list({stem for stem, _ in plain.values()}.difference(known))
+        for lo in range(0, len(stems), 1000):
+            part = stems[lo : lo + 1000]
+            # Words of letters are one unit each, whose last token alone ends a word.
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer doesn't code words of letters apart")
+            raw = ids.tobytes()
+            fresh.update((w, raw[4 * x : 4 * y]) for w, x, y in zip(part, [0, *ends], ends, strict=False))
+        for w, (stem, stop) in plain.items():
+            fresh[w] = (known[stem] if stem in known else fresh[stem]) + stop
+        return fresh
+
 
 @lru_cache(1)
 def loaded(path: str) -> Words:
