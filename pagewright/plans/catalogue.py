@@ -1,7 +1,264 @@
-"""Queries of the layout engine and the SQL that they are held against."""
+"""Queries of the layout engine and the SQL that they are held against.
+
+The driver's tables hold no pages or glyphs. Queries over documents and pages use the operators as they are meant;
+those marked (shape) borrow an operator's relational shape on other tables; those marked (values) run on a few rows
+given here, with the results to be expected.
+"""
 
 from __future__ import annotations
 
+import string
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from pagewright.functions import text as tx
+from pagewright.operators import documents as dc
+from pagewright.operators import folios, outline
+
+FLAGSHIP = "toc_style_levels"
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = "toc_style_levels"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+LINES = "WITH d AS (SELECT doc_id, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents), l AS (SELECT doc_id, lang, len(ls) AS n, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM d)"
+
+
+# (shape) styles of contents lines: class by the first word of a part's type.
+@query("""
+WITH s AS (SELECT DISTINCT p_size % 7 AS doc_id, regexp_extract(p_type, '^\\w+') AS prefix, CAST(floor(p_size / 30) * 30 AS INTEGER) AS indent_bucket, CAST(floor(floor(p_retailprice / 10) / 6) * 6 AS INTEGER) AS height_bucket FROM part)
+SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY height_bucket DESC, indent_bucket, prefix) AS INTEGER) AS level FROM s""")
+def toc_style_levels(spark, sf_dir):
+    lines = table(spark, sf_dir, "part").select((F.col("p_size") % 7).alias("doc_id"), F.regexp_extract("p_type", r"^\w+", 0).alias("prefix"), F.col("p_size").alias("indent"), F.floor(F.col("p_retailprice") / 10).cast("int").alias("height"))
+    return outline.style_levels(lines)
+
+
+@query(LINES + """, k AS (SELECT *, regexp_replace(lower(line), '[^a-z]', '', 'g') AS key, CASE WHEN line_no = 0 THEN 'top' WHEN line_no = n - 1 THEN 'bottom' END AS edge FROM l WHERE NOT regexp_matches(line, '""" + tx.STAMP + """')),
+o AS (SELECT edge, key FROM k WHERE edge IS NOT NULL AND key <> '' GROUP BY edge, key HAVING count(*) >= 2)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.edge = k.edge AND o.key = k.key)""")
+def furniture_stripped(spark, sf_dir):
+    return dc.strip_furniture(dc.document_lines(table(spark, sf_dir, "documents")))
+
+
+@query(LINES + """, t AS (SELECT regexp_split_to_array(trim(line), '\\s+') AS ts FROM l), i AS (SELECT lower(trim(unnest(ts[2:len(ts) - 1]), '""" + dc.EDGES.replace("'", "''") + """')) AS w FROM t), p AS (SELECT unnest(string_split(w, '-')) AS word FROM i)
+SELECT DISTINCT word FROM p WHERE regexp_matches(word, '^\\p{L}+$')""")
+def interior_vocabulary(spark, sf_dir):
+    return dc.interior_vocabulary(dc.document_lines(table(spark, sf_dir, "documents")))
+
+
+def _words(spark, sf_dir, name):
+    return table(spark, sf_dir, name).select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).where("word <> ''")
+
+
+_STEMS = " UNION ALL ".join(["SELECT word, word AS stem FROM t"] + [f"SELECT word, left(word, length(word) - {len(e)}) || '{r}' FROM t WHERE ends_with(word, '{e.replace(chr(39), chr(39) * 2)}') AND length(word) > {len(e) + 1}" for e, r in dc.ENDINGS])
+
+
+@query(f"""
+WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM conversations), t AS (SELECT DISTINCT word FROM w WHERE word <> ''),
+b AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS stem FROM benchmark), s AS ({_STEMS}), k AS (SELECT DISTINCT word FROM s SEMI JOIN b USING (stem))
+SELECT known, count(*) AS n FROM (SELECT w.word, k.word IS NOT NULL AS known FROM w LEFT JOIN k ON w.word = k.word WHERE w.word <> '') GROUP BY known""")
+def known_word_share(spark, sf_dir):
+    found = dc.known_words(_words(spark, sf_dir, "conversations"), _words(spark, sf_dir, "benchmark"))
+    return found.groupBy("known").agg(F.count("*").alias("n"))
+
+
+@query(LINES + """, c AS (SELECT *, len(regexp_extract_all(line, '\\p{L}')) AS a, len(regexp_extract_all(line, '\\p{Lu}')) AS u FROM l)
+SELECT lang, count(*) AS lines, CAST(count(*) FILTER ((a > 0 AND u / a >= 0.8) OR regexp_matches(line, '^\\d{1,4}\\s') OR regexp_matches(line, '\\s\\d{1,4}$')) AS BIGINT) AS heads FROM c GROUP BY lang""")
+def running_heads(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("lang", F.explode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("line"))
+    return lines.groupBy("lang").agg(F.count("*").alias("lines"), F.count_if(tx.running_head(F.col("line"))).alias("heads"))
+
+
+_PAIRS = "|".join(c * 2 for c in string.ascii_uppercase)
+_CLASSES = " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in [("paren_double_upper", rf"^\(({_PAIRS})\.\)"), ("paren_double_lower", rf"^\(({_PAIRS.lower()})\.\)"), *tx.NUMBERING[2:]])
+
+
+@query(LINES + f"""SELECT CASE {_CLASSES} ELSE 'none' END AS prefix, count(*) AS lines, CAST(count(*) FILTER (regexp_matches(line, '{tx.LINE_NUMBER}')) AS BIGINT) AS numbered FROM l GROUP BY 1""")
+def numbering_classes(spark, sf_dir):
+    lines = dc.document_lines(table(spark, sf_dir, "documents"))
+    return lines.groupBy(tx.numbering_class(F.col("line")).alias("prefix")).agg(F.count("*").alias("lines"), F.count(tx.page_number(F.col("line"))).alias("numbered"))
+
+
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {_PLAIN.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, {_PLAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS h1 FROM pages)
+SELECT page_id, title, title = h1 AND title <> '' AS same FROM p""")
+def page_titles(spark, sf_dir):
+    inner = lambda tag: tx.tags_stripped(F.regexp_extract("html", rf"(?s)<{tag}>(.*?)</{tag}>", 1))
+    return table(spark, sf_dir, "pages").select("page_id", inner("title").alias("title"), inner("h1").alias("h1")).select("page_id", "title", ((F.col("title") == F.col("h1")) & (F.col("title") != "")).alias("same"))
+
+
+# (shape) lines of an order as words of a page: those 1.4 times as large as the upper median.
+@query("""
+WITH m AS (SELECT l_orderkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey AS doc_id, l_linenumber AS block_num, max(l_quantity) / median AS rel FROM lineitem JOIN m USING (l_orderkey) WHERE median > 0 AND l_quantity >= 1.4 * median GROUP BY l_orderkey, l_linenumber, median""")
+def heading_candidates(spark, sf_dir):
+    one = F.lit(1)
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), one.alias("page"), F.col("l_linenumber").alias("block_num"), one.alias("par_num"), one.alias("line_num"), one.alias("word_num"), one.alias("left"), F.col("l_quantity").alias("height"), F.lit("Heading").alias("text"))
+    return outline.heading_candidates(words).select("doc_id", "block_num", "rel")
+
+
+_PAGES = "SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS pdf_page, o_orderkey FROM orders"
+
+
+# (shape) a customer's orders as pages, some without a number.
+@query(f"""
+WITH p AS (SELECT doc_id, pdf_page, CASE WHEN o_orderkey % 3 <> 0 THEN pdf_page + o_orderkey % 2 END AS n FROM ({_PAGES})),
+s AS (SELECT *, last_value(CASE WHEN n IS NOT NULL THEN n - pdf_page END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pdf_page RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b,
+  first_value(CASE WHEN n IS NOT NULL THEN n - pdf_page END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pdf_page RANGE BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS a FROM p)
+SELECT doc_id, pdf_page, CAST(coalesce(n, CASE WHEN (a IS NULL OR b IS NULL OR a = b) AND coalesce(b, a) + pdf_page >= 1 THEN coalesce(b, a) + pdf_page END) AS VARCHAR) AS folio FROM s""")
+def folio_inference(spark, sf_dir):
+    at = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), at.alias("pdf_page"), F.lit("").alias("part"), "o_orderkey")
+    pages = pages.withColumn("folio", F.when(F.col("o_orderkey") % 3 != 0, (F.col("pdf_page") + F.col("o_orderkey") % 2).cast("string")))
+    return folios.infer_folios(pages.drop("o_orderkey")).select("doc_id", "pdf_page", "folio")
+
+
+# (shape) a user's events as references and notes.
+@query("""
+WITH r AS (SELECT user_id, event_id AS seq, event_id % 4 AS label, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 0),
+n AS (SELECT user_id, event_id AS note_id, event_id % 4 - event_id % 4 % 2 AS label, event_id AS seq FROM events WHERE event_id % 2 = 1),
+m AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY seq) AS k FROM n),
+f AS (SELECT r.user_id, r.seq, r.label, note_id FROM r LEFT JOIN m ON r.user_id = m.user_id AND r.label = m.label AND r.k = m.k),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM f WHERE note_id IS NULL),
+g AS (SELECT user_id, note_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM n WHERE note_id NOT IN (SELECT note_id FROM f WHERE note_id IS NOT NULL))
+SELECT user_id AS doc_id, seq, label, note_id FROM f WHERE note_id IS NOT NULL UNION ALL SELECT l.user_id, l.seq, l.label, g.note_id FROM l LEFT JOIN g ON l.user_id = g.user_id AND l.k = g.k""")
+def linked_notes(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.lit(1).alias("page"), F.col("event_id").alias("seq"), (F.col("event_id") % 4).alias("label"))
+    notes = events.where("seq % 2 = 1").withColumn("note_id", F.col("seq")).withColumn("label", F.col("label") - F.col("label") % 2)
+    return dc.linked_notes(events.where("seq % 2 = 0"), notes).drop("page")
+
+
+# (shape) a user's events as paragraphs that continue unless the gap is too large.
+@query("""
+WITH e AS (SELECT event_id, user_id, epoch(ts) AS at FROM events), o AS (SELECT *, CASE WHEN at - lag(at) OVER w <= 3600 THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY at, event_id))
+SELECT event_id, user_id, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY at, event_id) AS BIGINT) AS run FROM o""")
+def merged_runs(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    return dc.merged_runs(events, "user_id", "at", 3600).drop("at")
+
+
+# (shape) orders as pages of a new file, shipped orders as those of an old one.
+@query("""
+WITH o AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
+SELECT o_orderkey AS page_no, coalesce(n, 0) AS n_annots, coalesce(abs(o_totalprice - q * 1000) > 1 OR abs(o_custkey - l_orderkey) > 1, false) AS size_differs, l_orderkey IS NULL AS beyond FROM orders LEFT JOIN o ON o_orderkey = l_orderkey""")
+def carried_annotations(spark, sf_dir):
+    new = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_no"), F.col("o_totalprice").alias("width"), F.col("o_custkey").alias("height"))
+    old = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("page_no")).agg(F.collect_list(F.col("l_linenumber").cast("string")).alias("annots"), (F.sum("l_quantity") * 1000).alias("width"), F.first("l_orderkey").alias("height"))
+    return dc.carried_annotations(new, old).select("page_no", F.coalesce(F.size("annots"), F.lit(0)).cast("long").alias("n_annots"), "size_differs", "beyond")
+
+
+@query("""SELECT s_name, array_to_string(list_transform(regexp_extract_all(s_name, '\\d+|\\D+'), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(p, 20, '0') ELSE lower(p) END), '') AS natural_key FROM supplier""")
+def natural_names(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_name", tx.natural_key(F.col("s_name")).alias("natural_key"))
+
+
+# (shape) nations as records of three sources.
+@query("""
+SELECT n_nationkey AS doc_id, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN n_name END, r_name) AS title, CASE WHEN n_nationkey % 2 = 0 THEN r_name END AS publisher, n_name AS author FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def merged_front_matter(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("n_nationkey").alias("doc_id")
+    strong = nation.select(key, F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise("").alias("title"))
+    cover = nation.where("n_nationkey % 2 = 0").select(key, F.col("r_name").alias("title"), F.col("r_name").alias("publisher"))
+    weak = nation.select(key, F.col("r_name").alias("title"), F.col("n_name").alias("author"))
+    return dc.merged_front_matter(strong, cover, weak).select("doc_id", "title", "publisher", "author")
+
+
+@query("""
+SELECT item_id AS name, levenshtein(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(replace(text, 'the', 'teh,'), '\\s+', ' ', 'g'))) / greatest(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1) AS cer FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
+def reading_errors(spark, sf_dir):
+    gold = table(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    pairs = gold.select(F.col("item_id").alias("name"), F.col("text").alias("gold"), F.replace("text", F.lit("the"), F.lit("teh,")).alias("reading"))
+    return dc.reading_errors(pairs).select("name", "cer")
+
+
+@query("SELECT l_returnflag AS action, count(*) AS files FROM lineitem GROUP BY 1")
+def crop_summary(spark, sf_dir):
+    return dc.crop_summary(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("action")))
+
+
+# (shape) a user's events as text pieces; the titles are pairs of event types.
+@query("""
+WITH s AS (SELECT user_id, event_id // 100 AS page, event_id AS seq, lower(string_agg(event_type, '') OVER (PARTITION BY user_id, event_id // 100 ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) AS joined FROM events),
+t AS (SELECT DISTINCT user_id, a.event_type || b.event_type AS title FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type FROM events) a, (SELECT DISTINCT event_type FROM events) b)
+SELECT t.user_id AS doc_id, t.title, min(s.page) AS found_page FROM t LEFT JOIN s ON s.user_id = t.user_id AND instr(s.joined, t.title) BETWEEN 1 AND 3 GROUP BY 1, 2""")
+def placed_headings(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    shows = events.select(F.col("user_id").alias("doc_id"), F.floor(F.col("event_id") / 100).alias("page"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
+    kinds = events.select("event_type").distinct()
+    # The kinds of events are a handful; each user gets the array of their pairs.
+    titles = kinds.agg(F.collect_set("event_type").alias("k")).select(F.flatten(F.transform("k", lambda a: F.transform("k", lambda b: F.concat(a, b)))).alias("titles"))
+    entries = events.select(F.col("user_id").alias("doc_id")).distinct().join(F.broadcast(titles)).select("doc_id", F.posexplode("titles").alias("seq", "title"))
+    return outline.place_headings(entries, shows).select("doc_id", "title", "found_page")
+
+
+def _rows(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+_TOC = [("VIIL. The Problem of Evil 27", "VIII. The Problem of Evil", 27, "roman"), ("1.1 Bar . 17", "1.1 Bar", 17, "arabic_dotted"), ("(AA.) Reason", "(AA.) Reason", None, "paren_double_upper"), ("L. Logic 3", "I. Logic", 3, "roman"), ("a. Being", "a. Being", None, "letter_lower"), ("Preface", "Preface", None, "none"), ("I11. Notion 101", "III. Notion", 101, "roman"), ("title.....27", "title.....27", None, "none")]
+_quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+_sql = lambda rows, names: f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_quote, r)) + ')' for r in rows)}) AS t({names})"
+
+
+# (values) lines of a printed contents page.
+@query(_sql([(i, *r[1:]) for i, r in enumerate(_TOC)], "line_num, text, page_hint, prefix"))
+def toc_lines(spark, sf_dir):
+    words = [(1, 1, 1, 1, i, k, 100 + 10 * k, 24, w) for i, r in enumerate(_TOC) for k, w in enumerate(r[0].split(" "))]
+    return outline.toc_lines(_rows(spark, words, "doc_id long, page int, block_num int, par_num int, line_num int, word_num int, left int, height int, text string")).select("line_num", "text", "page_hint", "prefix")
+
+
+_FOLIOS = [("8", "8"), ("9", "9"), ("09", "10"), ("II", "11"), ("12", "12"), ("3", "13"), (None, None), ("15", "15"), ("I6", "16")]
+
+
+# (values) printed numbers misread in a run of pages.
+@query(_sql([(i, want) for i, (_, want) in enumerate(_FOLIOS)], "seq, folio"))
+def repaired_folios(spark, sf_dir):
+    pages = [(1, i, i, "", read) for i, (read, _) in enumerate(_FOLIOS)]
+    return folios.repair_folios(_rows(spark, pages, "doc_id long, seq int, pdf_page int, part string, folio string")).select("seq", "folio")
+
+
+_SOURCES = [("Mind, New Series, Vol. 72, No. 288 (Oct., 1963), pp. 481-501", "Mind, New Series", "72", "288", "1963", "481–501", ""), ("An odd line", "", "", "", "", "", "An odd line"), ("Noûs, Vol. 3 (1969)", "Noûs", "3", "", "1969", "", "")]
+
+
+# (values) source lines of journals.
+@query(_sql(_SOURCES, "source, journal, volume, issue, date, pages, citation"))
+def journal_sources(spark, sf_dir):
+    return _rows(spark, [(r[0],) for r in _SOURCES], "source string").withColumn("s", tx.journal_source(F.col("source"))).select("source", "s.*")
+
+
+_DOIS = [("see 10.1000/182, and DOI: 10.1093/mind/fzv001.", "10.1093/mind/fzv001"), ("at 10.1000/xyz).", "10.1000/xyz"), ("none", None)]
+
+
+# (values) identifiers in running text.
+@query(_sql(_DOIS, "text, doi"))
+def found_dois(spark, sf_dir):
+    return _rows(spark, [(r[0],) for r in _DOIS], "text string").withColumn("doi", tx.doi(F.col("text")))
+
+
+_NOISE = [("opinion,!", 1), ("Being-there?", 1), ("word.1", 1), ("L AL AR", 1), ("II.", 1), ("cognition.", 1), ("Preface", 0), ("Bibliography", 0), ("The Idea of It", 0)]
+
+
+# (values) heading candidates that are body text.
+@query(_sql(_NOISE, "text, noise"))
+def heading_noise(spark, sf_dir):
+    return _rows(spark, [(r[0],) for r in _NOISE], "text string").withColumn("noise", tx.heading_noise(F.col("text")).cast("int"))
