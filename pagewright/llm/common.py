@@ -37,3 +37,10 @@ def hot_left_join(rows: DataFrame, groups: DataFrame, key: str, count: str, spre
     joined = met.join(rest, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_zero")), "left")
     keep = [c for c in rows.columns]
     return joined.select(*keep, *[F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in carry])
+
+
+def small_batches(spark, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from here on: rows that carry whole texts or sets are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

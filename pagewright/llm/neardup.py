@@ -3,10 +3,10 @@
 Texts with the same set of word n-grams are one node, whatever their number. Each node's MinHash signature is cut
 into bands, whose number and rows are chosen for a target recall; nodes meet by a shuffle on the bands' hashes. Within
 a bucket every node is tested against the bucket's smallest node (its hub), on the full sets; small buckets test all
-their nodes against each other. Nodes of a larger bucket that haven't come into their hub's class meet among
-themselves under a new hub, and meet those nodes of the hub's class that the triangle inequality for Jaccard distance
-doesn't rule out, until no bucket has such nodes left. So classes are whole without all pairs of a group ever being
-made. Classes are the connected components of the links found, by repeated contraction onto the smallest neighbour
+their nodes against each other. Nodes of a larger bucket that haven't come into their hub's class are
+then tested against HUBS nodes of that class and, as a new bucket, against each other or, if they are many, against
+HUBS of themselves; this is done up to ROUNDS times. So the number of tests is a fixed multiple of the number of
+nodes in buckets, and no bucket's pairs are all made. What that can miss is stated in the README. Classes are the connected components of the links found, by repeated contraction onto the smallest neighbour
 (nodes are named by hashes, so a constant share goes each time).
 
 Edge cases: rows with a null id take no part (class and links null); null texts and texts without a word are a class
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pagewright.llm.common import WORD, hot_left_join
+from pagewright.llm.common import WORD, hot_left_join, small_batches
 from pagewright.session import stored
 
 N, SIMILAR, RECALL, HASHES = 5, 0.8, 0.9995, 128
-#: Buckets up to this size test all their pairs; pairs that share a copy of their hub's set; words that a worker remembers.
-SMALL, SHARE, MEMORY = 8, 128, 400_000
+#: Buckets up to this size test all their pairs, as do what is left of larger ones up to the second size; hubs and further rounds of larger buckets; pairs that share a copy of their hub's set; words that a worker remembers.
+SMALL, REST, HUBS, ROUNDS, SHARE, MEMORY = 8, 64, 2, 3, 128, 200_000
 #: Bits of the filter that goes before the join with the texts.
 BITS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -173,9 +173,18 @@ def all_pairs(members: DataFrame, most: int) -> DataFrame:
     return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b", F.lit(1).cast("long").alias("cnt"))
 
 
+def under_hubs(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(a, b, cnt): members (key, node) against the hubs of their bucket, HUBS nodes of `hubs` (key, node), one for each remainder of their hash."""
+    few = hubs.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("r")).agg(F.min("node").alias("hub"), F.count("*").alias("n"))
+    few = stored(few.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("n").alias("n")), "hubs")
+    met = hot_left_join(members.select("key", "node"), few, "key", "n", "node", ["hubs", "n"])
+    return met.select(F.explode("hubs").alias("hub"), "node", "n").where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), F.col("n").alias("cnt"))
+
+
 def classes(docs: DataFrame, n: int = N, similar: float = SIMILAR, recall: float = RECALL, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest id of the class), n_links (links of its text to other texts that were verified), n_copies."""
     bands, rows = banding(similar, recall, hashes)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     told = stored(sketches(docs, n, bands, rows, similar), "sketches")
     nodes = told.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
@@ -189,11 +198,11 @@ def classes(docs: DataFrame, n: int = N, similar: float = SIMILAR, recall: float
     once = lambda p: p.groupBy("a", "b").agg(F.max("cnt").alias("cnt"))
     results = [stored(tested(once(under_hub(members).union(all_pairs(members, SMALL))), sets), "tested")]
     active = members.where(F.col("cnt") > SMALL)
-    while True:
+    for k in range(ROUNDS + 1):
         every = reduce(DataFrame.union, results)
         links = every.where(F.col("similar") >= similar)
         labels = components(links)
-        if labels is None or active.isEmpty():
+        if labels is None or k == ROUNDS or active.isEmpty():
             break
         # Nodes of larger buckets that are in another class than their hub.
         sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
@@ -205,16 +214,13 @@ def classes(docs: DataFrame, n: int = N, similar: float = SIMILAR, recall: float
         if apart.isEmpty():
             break
         again = apart.groupBy("key").agg(F.count("*").alias("cnt"), F.min("node").alias("hub"))
-        active = stored(hot_left_join(apart.select("key", "node"), again, "key", "cnt", "node", ["hub", "cnt"]), "active")
-        # Similarity to the old hub bounds that between the two: d(x, y) >= d(x, hub) - d(y, hub).
-        known = every.groupBy("a", "b").agg(F.max("similar").alias("similar"))
-        to_hub = lambda rows: rows.join(known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "similar"), ["hub", "node"])  # noqa: E731, B023
-        near = to_hub(apart).where(F.col("similar") >= 2 * similar - 1).select("key", F.col("node").alias("far"), F.col("node_label").alias("far_label"), F.col("similar").alias("far_similar"))
-        inner = to_hub(marked.join(near.select("key").distinct(), "key", "left_semi")).where("node_label = hub_label").select("key", "node", "node_label", "similar")
-        across = near.join(inner, "key").where((F.col("similar") <= F.col("far_similar") + (1 - similar) + 1e-9) & (F.col("node_label") != F.col("far_label")))
-        pairs = under_hub(active).union(all_pairs(active, SMALL)).union(across.select(F.least("node", "far").alias("a"), F.greatest("node", "far").alias("b"), F.lit(1).cast("long").alias("cnt")))
+        rest = stored(hot_left_join(apart.select("key", "node"), again, "key", "cnt", "node", ["hub", "cnt"]), "rest")
+        own = marked.join(again.select("key"), "key", "left_semi").where("node_label = hub_label")
+        large = rest.where(F.col("cnt") > REST)
+        pairs = under_hub(rest.where(F.col("cnt") <= REST)).union(all_pairs(rest, REST)).union(under_hubs(rest, own)).union(under_hubs(large, large))
         new = once(pairs).join(every.select("a", "b").distinct(), ["a", "b"], "left_anti")
         results.append(stored(tested(new, sets), "tested"))
+        active = large
 
     distinct = links.select("a", "b").distinct()
     degrees = distinct.select(F.col("a").alias("node")).union(distinct.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -29,7 +29,7 @@ from pagewright.session import stored
 
 CAPACITY, CLOSE = 4096, 1
 #: Hash buckets in which ranks are counted; words that a worker remembers; entries of a plan that may go to every task.
-BUCKETS, MEMORY, MOST_STEPS = 256, 1_000_000, 4_000_000
+BUCKETS, MEMORY, MOST_STEPS = 256, 700_000, 4_000_000
 
 
 def default_tokenizer() -> str:

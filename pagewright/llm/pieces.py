@@ -29,7 +29,7 @@ from pagewright.session import stored
 BAR = "▁"
 NEVER = -np.inf
 #: Characters of a chunk, of the context that a chunk sees on either side, and words that a worker remembers.
-CHUNK, MEMORY = 32_768, 400_000
+CHUNK, MEMORY = 32_768, 800_000
 
 
 class Memo(dict):
@@ -125,6 +125,8 @@ class Pieces:
 
     def packed(self, segment: str) -> bytes:
         """Ids of a text that may stand on its own."""
+        if len(segment) > 1 and self.by_words and segment[-2:] not in self.inside:  # a stop after a word
+            return self.word[segment[:-1]] + self.word[segment[-1]]
         return self.pack(self.back(self.forward(segment, 0, len(segment), None), 0, len(segment)))
 
     def encode(self, text: str) -> bytes:
@@ -172,17 +174,17 @@ class Pieces:
         out = [(0, 0)] if closing else self.states(s, hi)
         matrix = np.full((len(into), len(out)), NEVER)
         reach = hi if closing else min(len(s), hi + self.longest)
+        # Every path goes through each place that no piece can cross: up to the first one rows differ, from the last one columns do.
         meet = self.forced(s, min(lo + self.longest, hi), hi)
-        common = self.forward(s, meet, reach, None) if meet < hi else None
+        leave = next((i for i in range(hi - 1, meet, -1) if s[i - 1 : i + 1] not in self.inside), meet)
+        common = self.forward(s, leave, reach, None) if meet < hi else None
         for r, (a, b) in enumerate(into):
-            before = None if opening else s[lo + a : lo + b]
-            begin = lo + b
-            if common is not None:
-                met = begin == meet or self.forward(s, begin, meet, before)[meet] is not None if begin <= meet else False
-                last, at = (common, meet) if met else (None, meet)
-            else:
+            before, begin = None if opening else s[lo + a : lo + b], lo + b
+            if common is None:
                 last, at = self.forward(s, begin, reach, before), begin
-            if last is None:
+            elif begin == meet or self.forward(s, begin, meet, before)[meet] is not None:
+                last, at = common, leave
+            else:
                 continue
             for k, (x, y) in enumerate(out):
                 if closing:
@@ -257,22 +259,27 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """row, doc_id, chunk_no, ids (array<int>), decoded (string; the chunk's part of the text decoded from its ids), ids_crc32.
+def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two tables, of texts of up to `chunk` characters and of longer ones, which are scanned.
 
-    row tells rows of the input apart. Texts of up to `chunk` characters are one chunk; longer ones are scanned.
+    Both: row (tells the longer ones apart, else null), doc_id, chunk_no, ids (array<int>), decoded (the chunk's part
+    of the text, decoded from its ids). With digests, in place of the last two: n_ids, ids_crc32, decoded_chars,
+    decoded_bytes, decoded_crc32.
     """
     model = model or default_model()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    schema = "row string, doc_id long, chunk_no int, ids array<int>, decoded string, ids_crc32 long"
+    schema = "row string, doc_id long, chunk_no int, " + ("n_ids long, ids_crc32 long, decoded_chars long, decoded_bytes long, decoded_crc32 long" if digests else "ids array<int>, decoded string")
 
     def told(p, row, doc_id, chunk_no, packed, first):
         ids = np.frombuffer(packed, "<u4")
         decoded = p.decode(ids)
-        return row, doc_id, chunk_no, ids.astype("i4"), (decoded[1:] if first else decoded).decode("utf-8", "replace"), zlib.crc32(packed)
+        decoded = decoded[1:] if first else decoded
+        if digests:
+            return row, doc_id, chunk_no, len(ids), zlib.crc32(packed), len(decoded.decode("utf-8", "replace")), len(decoded), zlib.crc32(decoded)
+        return row, doc_id, chunk_no, ids.astype("i4"), decoded.decode("utf-8", "replace")
 
-    names = ["row", "doc_id", "chunk_no", "ids", "decoded", "ids_crc32"]
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def short(batches):
         p = loaded(model)
@@ -329,14 +336,13 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
     long_ones = chunks.join(states, ["row", "chunk_no"]).mapInPandas(traced, schema)
     copies = chunks.where("chunk_no = 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     long_ones = long_ones.join(copies, "row").withColumn("row", F.concat_ws("/", "row", "copy")).drop("copy")
-    return rows.where(F.length("text") <= chunk).mapInPandas(short, schema).unionByName(long_ones)
+    return rows.where(F.length("text") <= chunk).mapInPandas(short, schema), long_ones
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document: number of ids, their crc32, number of chunks, and the length and crc32 of the decoded text."""
-    chunks = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    digests = chunks.select("row", "doc_id", "chunk_no", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.length("decoded").cast("long").alias("decoded_chars"), F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
-    whole = digests.where("row IS NULL").select("doc_id", "n_ids", "ids_crc32", F.lit(1).cast("long").alias("n_chunks"), "decoded_chars", "decoded_crc32")
+    short, chunks = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)
+    whole = short.select("doc_id", "n_ids", "ids_crc32", F.lit(1).cast("long").alias("n_chunks"), "decoded_chars", "decoded_crc32")
 
     def joined(pdf):
         pdf = pdf.sort_values("chunk_no")
@@ -345,5 +351,5 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             ids, text = crc32_joined(ids, x.ids_crc32, 4 * x.n_ids), crc32_joined(text, x.decoded_crc32, x.decoded_bytes)
         return pd.DataFrame({"doc_id": pdf.doc_id[:1], "n_ids": [pdf.n_ids.sum()], "ids_crc32": [ids], "n_chunks": [len(pdf)], "decoded_chars": [pdf.decoded_chars.sum()], "decoded_crc32": [text]}).astype({"doc_id": "Int64"})
 
-    giant = digests.where("row IS NOT NULL").groupBy("row").applyInPandas(joined, whole.schema)
+    giant = chunks.groupBy("row").applyInPandas(joined, whole.schema)
     return whole.unionByName(giant)
