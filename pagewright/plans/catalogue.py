@@ -149,8 +149,8 @@ def linked_notes(spark, sf_dir):
 
 # (shape) a user's events as paragraphs that continue unless the gap is too large.
 @query("""
-WITH e AS (SELECT event_id, user_id, epoch(ts) AS at FROM events), o AS (SELECT *, CASE WHEN at - lag(at) OVER w <= 3600 THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY at, event_id))
-SELECT event_id, user_id, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY at, event_id) AS BIGINT) AS run FROM o""")
+WITH e AS (SELECT event_id, user_id, epoch(ts) AS ts_s FROM events), o AS (SELECT *, CASE WHEN ts_s - lag(ts_s) OVER w <= 3600 THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts_s, event_id))
+SELECT event_id, user_id, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ts_s, event_id) AS BIGINT) AS run FROM o""")
 def merged_runs(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").cast("double").alias("at"))
     return dc.merged_runs(events, "user_id", "at", 3600).drop("at")
@@ -227,7 +227,7 @@ def toc_lines(spark, sf_dir):
     return outline.toc_lines(_rows(spark, words, "doc_id long, page int, block_num int, par_num int, line_num int, word_num int, left int, height int, text string")).select("line_num", "text", "page_hint", "prefix")
 
 
-_FOLIOS = [("8", "8"), ("9", "9"), ("09", "10"), ("II", "11"), ("12", "12"), ("3", "13"), (None, None), ("15", "15"), ("I6", "16")]
+_FOLIOS = [("8", "8"), ("9", "9"), ("09", "9"), ("II", "11"), ("12", "12"), ("3", "13"), (None, None), ("15", "15"), ("I6", "16")]
 
 
 # (values) printed numbers misread in a run of pages.
