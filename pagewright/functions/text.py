@@ -146,7 +146,8 @@ def size_class(size: Column, body: Column, scanned: Column) -> Column:
 
 def escaped(c: Column) -> Column:
     """Text that Markdown would otherwise read as markup."""
-    return F.regexp_replace(F.regexp_replace(c, r"([\\*_`~^$])", r"\\$1"), r"(==|\[[\^#%])", r"\\$1")
+    marked = F.replace(F.regexp_replace(c, r"([\\*_`~^$])", r"\\$1"), F.lit("=="), F.lit("\\=\\="))
+    return F.regexp_replace(marked, r"\[(?=[\^#%])", r"\\[")
 
 
 def roman(n: Column) -> Column:
