@@ -44,7 +44,7 @@ class _Lines(HTMLParser):
     @staticmethod
     def properties(title: str) -> dict[str, list[float]]:
         out = {}
-        for part in title.split(";"):
+        for part in filter(str.strip, title.split(";")):
             name, *values = part.split()
             try:
                 out[name] = [float(v) for v in values]
@@ -65,7 +65,7 @@ class _Lines(HTMLParser):
             self.word["text"] += data
 
     def handle_endtag(self, tag):
-        if self.word is not None and tag in ("span", "strong", "em") and tag == "span":
+        if self.word is not None and tag == "span":
             if self.word["text"].strip():
                 self.lines[-1]["words"].append(self.word | {"text": self.word["text"].strip()})
             self.word = None
