@@ -31,7 +31,7 @@ from pagewright.session import stored
 
 N, SIMILAR, RECALL, HASHES = 5, 0.8, 0.9995, 128
 #: Buckets up to this size test all their pairs, as do what is left of larger ones up to the second size; hubs and further rounds of larger buckets; pairs that share a copy of their hub's set; words that a worker remembers.
-SMALL, REST, HUBS, ROUNDS, SHARE, MEMORY = 8, 64, 2, 3, 128, 200_000
+SMALL, REST, HUBS, ROUNDS, SHARE, MEMORY = 8, 64, 8, 3, 128, 200_000
 #: Bits of the filter that goes before the join with the texts.
 BITS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
