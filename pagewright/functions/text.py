@@ -141,7 +141,7 @@ def running_head(c: Column) -> Column:
 
 def size_class(size: Column, body: Column, scanned: Column) -> Column:
     large, small = F.when(scanned, 1.2).otherwise(1.15), F.when(scanned, 0.87).otherwise(0.92)
-    return F.when(size > body * large, "h").when(size < body * small, "s").otherwise("b")
+    return F.when(size >= body * large, "h").when(size <= body * small, "s").otherwise("b")
 
 
 def escaped(c: Column) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 
 from pagewright.functions import text as tx
 from pagewright.operators import documents as dc
-from pagewright.operators import folios, outline
+from pagewright.operators import folios, outline, paragraphs
+from pagewright.operators import rows as rw
 
 FLAGSHIP = "toc_style_levels"
 QUERIES: dict = {}
@@ -262,3 +263,67 @@ _NOISE = [("opinion,!", 1), ("Being-there?", 1), ("word.1", 1), ("L AL AR", 1),
 @query(_sql(_NOISE, "text, noise"))
 def heading_noise(spark, sf_dir):
     return _rows(spark, [(r[0],) for r in _NOISE], "text string").withColumn("noise", tx.heading_noise(F.col("text")).cast("int"))
+
+
+_LINE_ROWS = "SELECT l_suppkey AS doc_id, CAST(l_linenumber AS INTEGER) AS page, l_quantity AS x0, l_extendedprice AS x1, 10 + l_discount * 50 AS size FROM lineitem"
+
+
+# (shape) lines of an order as rows of a page: their size from the discount, their edges from quantity and price.
+@query(f"""
+WITH r AS ({_LINE_ROWS}), b AS (SELECT *, size > 9.2 AND size < 11.5 AS b FROM r), k AS (SELECT * FROM (SELECT *, max(CAST(b AS INTEGER)) OVER (PARTITION BY doc_id, page) AS any_b FROM b) WHERE b OR any_b = 0),
+c AS (SELECT doc_id, page, round_even(x0, 0) AS x, count(*) AS n FROM k GROUP BY 1, 2, 3), l AS (SELECT doc_id, page, x, row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, x) AS k FROM c),
+e AS (SELECT doc_id, page, list_sort(list(x1)) AS ends FROM k GROUP BY 1, 2)
+SELECT doc_id, page, CAST(x AS DOUBLE) AS "left", CAST(ends[CAST(floor(0.9 * (len(ends) - 1)) AS INTEGER) + 1] AS DOUBLE) AS "right" FROM l JOIN e USING (doc_id, page) WHERE k = 1""")
+def page_margins(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page"), F.col("l_quantity").alias("x0"), F.col("l_extendedprice").alias("x1"), (10 + F.col("l_discount") * 50).alias("size"), F.lit(10.0).alias("body"), F.lit(False).alias("fuzzy"))
+    return rw.page_margins(rows)
+
+
+# (shape) lines of an order as glyphs.
+@query("""
+WITH s AS (SELECT l_suppkey AS doc_id, round_even(CAST(l_quantity AS DOUBLE) * 2, 0) / 2 AS body, count(*) AS n, min((l_orderkey, l_linenumber)) AS f FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2)
+SELECT doc_id, body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS k FROM s) WHERE k = 1""")
+def body_sizes(spark, sf_dir):
+    glyphs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row_no"), F.lit(1).alias("glyph_no"), F.lit("x").alias("text"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_returnflag") == "R").alias("sup"))
+    return rw.body_size(glyphs)
+
+
+# (shape) lines of an order as words of a page.
+@query("""
+WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber AS top, CAST(l_quantity AS DOUBLE) AS height FROM lineitem), c AS (SELECT *, min(top) OVER p + 0.6 * (max(top + height) OVER p - min(top) OVER p) AS cut FROM w WINDOW p AS (PARTITION BY doc_id))
+SELECT doc_id, CAST(1 AS INTEGER) AS page, list_sort(list(height))[count(*) // 2 + 1] AS body FROM c WHERE top <= cut GROUP BY doc_id""")
+def body_heights(spark, sf_dir):
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("top"), F.col("l_quantity").cast("double").alias("height"))
+    return paragraphs.body_heights(words)
+
+
+_LINE_ENDS = [("be-|ning and", "bening and"), ("self-|Consciousness", "self- Consciousness"), ("one|two—three", "one two – three"), ("10-|year", "10- year"), (" a | |b", "a b")]
+
+
+# (values) lines of paragraphs as running text.
+@query(_sql(_LINE_ENDS, "lines, text"))
+def copy_texts(spark, sf_dir):
+    return _rows(spark, [(r[0],) for r in _LINE_ENDS], "lines string").withColumn("text", paragraphs.copy_text(F.split("lines", r"\|")))
+
+
+#: Word, left, top, height, and the word that is left of it.
+_MARKED = [("Being", 0, 100, 20, "Being"), ("1", 60, 96, 9, None), ("mediation,2", 80, 100, 20, "mediation,"), ("§78", 160, 100, 20, "§78"), ("end*", 200, 100, 20, "end"), ("1", 240, 101, 19, "1")]
+
+
+# (values) words of a line, some of them markers of notes.
+@query(_sql([(i, r[4]) for i, r in enumerate(_MARKED) if r[4]], "word_num, text"))
+def unmarked_words(spark, sf_dir):
+    rows = [(1, 1, 1, 1, 1, i, *r[1:4], r[0]) for i, r in enumerate(_MARKED)]
+    return paragraphs.without_markers(_rows(spark, rows, "doc_id long, page int, block_num int, par_num int, line_num int, word_num int, left int, top int, height int, text string")).select("word_num", "text")
+
+
+#: Text, label, left edge, size, whether it is a note: a page's foot with a note carried over from the page before.
+_FOOT = [("Body text", None, 50, 10.0, 0), ("A small quote", None, 90, 8.0, 0), ("of the last note.", None, 50, 8.0, 1), ("1 See there.", "1", 50, 8.0, 1), ("198 Avenue", "198", 50, 8.0, 1)]
+
+
+# (values) rows at the foot of a page.
+@query(_sql([(i, r[4]) for i, r in enumerate(_FOOT)], "row_no, note"))
+def foot_notes(spark, sf_dir):
+    rows = [(1, 1, i, t, label, False, float(x), 500.0 - 12 * i, 490.0 - 12 * i, 492.0 - 12 * i, size, 10.0, False, [], ["1"]) for i, (t, label, x, size, _) in enumerate(_FOOT)]
+    schema = "doc_id long, page int, row_no int, text string, label string, label_raised boolean, x0 double, top double, bottom double, baseline double, size double, body double, fuzzy boolean, rules array<double>, refs array<string>"
+    return rw.split_notes(_rows(spark, rows, schema)).select("row_no", F.col("note").cast("int").alias("note"))

@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagewright.functions import text as tx
-from pagewright.operators import documents, folios, outline
+from pagewright.operators import documents, folios, outline, paragraphs
+from pagewright.operators import rows as rw
 from pagewright.plans import catalogue
 from pagewright.sources import words
 
@@ -71,3 +72,52 @@ def test_hocr(spark):
 def test_repair_keeps_what_rises(numbers):
     pages = pd.DataFrame({"doc_id": 1, "seq": range(len(numbers)), "pdf_page": range(len(numbers)), "part": "", "folio": [str(n) for n in sorted(numbers)]})
     assert folios.repaired(pages).folio.tolist() == [str(n) for n in sorted(numbers)]
+
+
+def glyph_row(spark, text, gaps=None, styles="", raised=""):
+    """One row of glyphs, each 5 wide; gaps[i] lies before glyph i, spaces have no width."""
+    at, out = 0.0, []
+    for i, c in enumerate(text):
+        at += (gaps or {}).get(i, 1.0 if c != " " else 0.0)
+        wide = 0.0 if c == " " else 5.0
+        out.append((1, 1, 1, i, c, styles[i : i + 1] == "i", False, 10.0, 10.0, at, at + wide, raised[i : i + 1] == "^"))
+        at += wide
+    return spark.createDataFrame(out, "doc_id long, page int, row_no int, glyph_no int, text string, italic boolean, bold boolean, size double, row_size double, x0 double, x1 double, sup boolean")
+
+
+def told(df):
+    return "".join(r.text for r in df.orderBy("glyph_no").collect())
+
+
+def test_false_spaces(spark):
+    row = glyph_row(spark, "THE P ROBLEM", gaps={4: 4.0})
+    assert told(rw.without_false_spaces(row)) == "THE PROBLEM"
+    few = glyph_row(spark, "P RO")
+    assert told(rw.without_false_spaces(few)) == "P RO"
+
+
+def test_styles_and_labels(spark):
+    row = glyph_row(spark, "Hōjōki12 a3", styles="i i ii", raised="      ^^  ^")
+    italics = [r.glyph_no for r in rw.styled_through_words(row).where("italic").collect()]
+    assert sorted(italics) == [0, 1, 2, 3, 4, 5]
+    assert {r.label for r in rw.raised_labels(row).collect()} == {"12", "3"}
+
+
+WORDS = "doc_id long, page int, block_num int, par_num int, line_num int, word_num int, left int, top int, height int, text string"
+
+
+def test_paragraphs(spark):
+    line = lambda par, n, top, height, text, left=0: [(1, 1, 1, par, n, k, left + 9 * k, top, height, t) for k, t in enumerate(text.split())]
+    page = line(1, 1, 0, 20, "THE HEAD 7") + line(2, 1, 22, 20, "Body goes") + line(3, 1, 44, 20, "on here") + line(4, 1, 66, 20, "Indented line", 40) + line(5, 1, 300, 10, "1 See") + line(5, 2, 312, 10, "2 Ibid.")
+    words_ = spark.createDataFrame(page, WORDS)
+    merged = {(r.par_num, r.line_num): r.paragraph for r in paragraphs.merged_paragraphs(words_).collect()}
+    assert merged == {(1, 1): 0, (2, 1): 1, (3, 1): 1, (4, 1): 2, (5, 1): 3, (5, 2): 3}
+    parts = {(r.par_num, r.line_num): r.part for r in paragraphs.note_paragraphs(words_).collect()}
+    assert parts[5, 1] == 0 and parts[5, 2] == 1 and parts[3, 1] == 0
+
+
+def test_rule_opens_notes(spark):
+    schema = "doc_id long, page int, row_no int, text string, label string, label_raised boolean, x0 double, top double, bottom double, baseline double, size double, body double, fuzzy boolean, rules array<double>, refs array<string>"
+    page = [(1, 1, i, "x", None, False, 50.0, 500.0 - 12 * i, 490.0 - 12 * i, 492.0 - 12 * i, 10.0 if i < 2 else 8.0, 10.0, False, [465.0], []) for i in range(5)]
+    assert [r.note for r in rw.split_notes(spark.createDataFrame(page, schema)).orderBy("row_no").collect()] == [False, False, False, True, True]
+    assert rw.split_notes(spark.createDataFrame([], schema)).count() == 0
