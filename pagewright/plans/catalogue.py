@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from pagewright.functions import text as tx
 from pagewright.operators import documents as dc
-from pagewright.operators import folios, outline, paragraphs
+from pagewright.operators import folios, outline, paragraphs, render
 from pagewright.operators import rows as rw
 
 FLAGSHIP = "toc_style_levels"
@@ -327,3 +327,50 @@ def foot_notes(spark, sf_dir):
     rows = [(1, 1, i, t, label, False, float(x), 500.0 - 12 * i, 490.0 - 12 * i, 492.0 - 12 * i, size, 10.0, False, [], ["1"]) for i, (t, label, x, size, _) in enumerate(_FOOT)]
     schema = "doc_id long, page int, row_no int, text string, label string, label_raised boolean, x0 double, top double, bottom double, baseline double, size double, body double, fuzzy boolean, rules array<double>, refs array<string>"
     return rw.split_notes(_rows(spark, rows, schema)).select("row_no", F.col("note").cast("int").alias("note"))
+
+
+@query(LINES + f""", t AS (SELECT doc_id, regexp_split_to_array(trim(line), '\\s+') AS ts FROM l), i AS (SELECT doc_id, lower(trim(unnest(ts[2:len(ts) - 1]), '{render.EDGES.replace("'", "''")}')) AS w FROM t),
+k AS (SELECT *, contains(trim(w, '-'), '-') AS c FROM i), p AS (SELECT doc_id, unnest(string_split(w, '-')) AS w FROM k WHERE c), a AS (SELECT doc_id, w, c FROM k WHERE c OR w <> '' UNION SELECT doc_id, w, false FROM p WHERE w <> '')
+SELECT doc_id, count(*) FILTER (NOT c) AS words, count(*) FILTER (c) AS compounds FROM a GROUP BY doc_id""")
+def document_vocabulary(spark, sf_dir):
+    rows = dc.document_lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line").alias("text"))
+    return render.vocabulary(rows).groupBy("doc_id").agg(F.count_if(~F.col("compound")).alias("words"), F.count_if("compound").alias("compounds"))
+
+
+# (shape) line items as blocks of a document, those with a return as headings.
+@query("""
+SELECT l_orderkey AS doc_id, l_linenumber AS seq, CASE WHEN l_returnflag = 'R' THEN CAST(least(dense_rank() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY l_quantity DESC), 4) AS INTEGER) END AS level FROM lineitem""")
+def heading_levels(spark, sf_dir):
+    blocks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.when(F.col("l_returnflag") == "R", "h").otherwise("p").alias("kind"), F.col("l_quantity").alias("size"))
+    return render.heading_levels(blocks).select("doc_id", "seq", "level")
+
+
+# (shape) nations as headings and customers' orders as notes of a document.
+@query("""
+WITH p AS (SELECT n_regionkey AS doc_id, 1 AS r, n_nationkey AS place, '# ' || n_name AS part FROM nation UNION ALL SELECT s_nationkey % 5, 2, s_suppkey, '[^' || s_suppkey || ']: ' || s_name FROM supplier)
+SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY r, place) || chr(10) AS markdown FROM p GROUP BY doc_id""")
+def markdown_documents(spark, sf_dir):
+    blocks = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_nationkey").alias("seq"), F.lit("h").alias("kind"), F.lit(1).alias("level"), F.col("n_name").alias("text"))
+    notes = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).cast("long").alias("doc_id"), F.col("s_suppkey").alias("note"), F.col("s_name").alias("text"))
+    return render.markdown_documents(blocks, notes)
+
+
+_HYPHENS = [("specu", "lative", 0), ("self", "consciousness", 1), ("in", "itself", 1), ("it", "self", 0), ("Being", "for-self", 1), ("so", "called", 1), ("omnis", "cient", 0), ("sequence", "aligned", 1), ("under", "stood", 0)]
+
+
+# (values) words parted at a line's end: 1 where the hyphen stays.
+@query(_sql(_HYPHENS, "head, tail, keep"))
+def line_end_hyphens(spark, sf_dir):
+    words = _rows(spark, [(1, w, False) for w in ("sequence", "aligned", "understood", "under", "stood")], "doc_id long, word string, compound boolean")
+    known = _rows(spark, [(w,) for w in ("so", "called", "omniscient")], "word string")
+    ends = _rows(spark, [(1, h, t) for h, t, _ in _HYPHENS], "doc_id long, head string, tail string")
+    return render.kept_hyphens(ends, words, known).select("head", "tail", F.col("keep").cast("int").alias("keep"))
+
+
+_STARTS = [("# x", "\\# x"), ("1. x", "1\\. x"), ("- x", "\\- x"), ("-x", "-x"), ("/a", "\\/a"), ("plain", "plain"), ("12) y", "12\\) y")]
+
+
+# (values) paragraphs that begin like Markdown's syntax.
+@query(_sql(_STARTS, "text, safe"))
+def block_starts(spark, sf_dir):
+    return _rows(spark, [(r[0],) for r in _STARTS], "text string").withColumn("safe", render.block_start_escaped(F.col("text")))

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagewright.functions import text as tx
-from pagewright.operators import documents, folios, outline, paragraphs
+from pagewright.operators import documents, folios, outline, paragraphs, render
 from pagewright.operators import rows as rw
 from pagewright.plans import catalogue
 from pagewright.sources import words
@@ -121,3 +121,29 @@ def test_rule_opens_notes(spark):
     page = [(1, 1, i, "x", None, False, 50.0, 500.0 - 12 * i, 490.0 - 12 * i, 492.0 - 12 * i, 10.0 if i < 2 else 8.0, 10.0, False, [465.0], []) for i in range(5)]
     assert [r.note for r in rw.split_notes(spark.createDataFrame(page, schema)).orderBy("row_no").collect()] == [False, False, False, True, True]
     assert rw.split_notes(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_inline_markdown(spark):
+    text = [("a", ""), (" ", ""), ("(", "i"), ("L", "i"), ("o", "i"), (")", "i"), (",", ""), ("1", "^n"), (" ", ""), ("x", "b"), ("2", "^"), ("?", ""), (" ", ""), ("?", "^")]
+    glyphs = [(1, 1, k, c, "i" in s, "b" in s, "^" in s, 5 if "n" in s else None, False) for k, (c, s) in enumerate(text)]
+    g = spark.createDataFrame(glyphs, "doc_id long, block int, glyph_no int, text string, italic boolean, bold boolean, sup boolean, note int, ocr boolean")
+    assert render.inline_markdown(g).first().text == "a (*Lo*),[^5] **x**^2^?"
+
+
+def test_joined_rows(spark):
+    rows_ = spark.createDataFrame([(1, 1, 0, "a specu-"), (1, 1, 1, "lative self-"), (1, 1, 2, "consciousness of 10-"), (1, 1, 3, "year"), (1, 2, 4, "")], "doc_id long, block int, row_no int, text string")
+    got = render.joined_rows(rows_, render.vocabulary(rows_.select("doc_id", "text"))).collect()
+    assert [(r.block, r.text) for r in got] == [(1, "a speculative self-consciousness of 10- year")]
+
+
+def test_half_titles(spark):
+    blocks = spark.createDataFrame([(1, 0, "h", 10.0, "On Being"), (1, 1, "h", 14.0, "ON BEING"), (1, 2, "p", 9.0, "On Being"), (2, 0, "h", 9.0, "Other")], "doc_id long, seq int, kind string, size double, text string")
+    titles = spark.createDataFrame([(1, "On being")], "doc_id long, title string")
+    assert sorted((r.doc_id, r.seq) for r in render.without_half_titles(blocks, titles).collect()) == [(1, 1), (1, 2), (2, 0)]
+
+
+def test_markdown(spark):
+    blocks = spark.createDataFrame([(1, 0, "h", 2, "On [x]"), (1, 1, "item", None, "3 . Three"), (1, 2, "quote", None, "- no list"), (1, 3, "p", None, ""), (1, 4, "p", None, "Text")], "doc_id long, seq int, kind string, level int, text string")
+    notes = spark.createDataFrame([(1, 2, "B"), (1, 1, "A")], "doc_id long, note int, text string")
+    front = spark.createDataFrame([(1, "---")], "doc_id long, yaml string")
+    assert render.markdown_documents(blocks, notes, front).first().markdown == "---\n\n## On \\[x]\n\n3. Three\n\n> \\- no list\n\nText\n\n[^1]: A\n\n[^2]: B\n"
