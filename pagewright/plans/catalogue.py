@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from pagewright.functions import text as tx
 from pagewright.operators import documents as dc
-from pagewright.operators import folios, outline, paragraphs, render
+from pagewright.operators import folios, outline, paragraphs, render, voting
 from pagewright.operators import rows as rw
 
 FLAGSHIP = "toc_style_levels"
@@ -374,3 +374,23 @@ _STARTS = [("# x", "\\# x"), ("1. x", "1\\. x"), ("- x", "\\- x"), ("-x", "-x"),
 @query(_sql(_STARTS, "text, safe"))
 def block_starts(spark, sf_dir):
     return _rows(spark, [(r[0],) for r in _STARTS], "text string").withColumn("safe", render.block_start_escaped(F.col("text")))
+
+
+_TOKENS = [("omniscient,", 1), ("fan", 0), ("12.5", 1), ("xiv", 1), ("don’t", 1), ("self-same", 1), ("b", 1), ("...", 1), ("caf\u00e9", 0), ("sames", 1)]
+
+
+# (values) tokens that read as words.
+@query(_sql(_TOKENS, "token, valid"))
+def valid_tokens(spark, sf_dir):
+    known = _rows(spark, [(w,) for w in ("omniscient", "don", "self", "same")], "word string")
+    return voting.valid_tokens(_rows(spark, [(t,) for t, _ in _TOKENS], "token string"), known).select("token", F.col("valid").cast("int").alias("valid"))
+
+
+# (shape) conversations' words as a reading, the benchmark's as dictionary: how many are valid.
+@query("""
+WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM conversations), b AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS stem FROM benchmark),
+w AS (SELECT token AS word FROM t WHERE token <> ''), s AS (""" + _STEMS.replace("FROM t", "FROM w") + """), k AS (SELECT DISTINCT word FROM s SEMI JOIN b USING (stem))
+SELECT count(*) AS tokens, count(*) FILTER (regexp_matches(word, '^(m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})|[a-z])$') OR word IN (SELECT word FROM k)) AS valid FROM w""")
+def valid_share(spark, sf_dir):
+    tokens = _words(spark, sf_dir, "conversations").withColumnRenamed("word", "token")
+    return voting.valid_tokens(tokens, _words(spark, sf_dir, "benchmark")).agg(F.count("*").alias("tokens"), F.count_if("valid").alias("valid"))

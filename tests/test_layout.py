@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagewright.functions import text as tx
-from pagewright.operators import documents, folios, outline, paragraphs, render
+from pagewright.operators import documents, folios, outline, paragraphs, render, voting
 from pagewright.operators import rows as rw
 from pagewright.plans import catalogue
 from pagewright.sources import words
@@ -147,3 +147,41 @@ def test_markdown(spark):
     notes = spark.createDataFrame([(1, 2, "B"), (1, 1, "A")], "doc_id long, note int, text string")
     front = spark.createDataFrame([(1, "---")], "doc_id long, yaml string")
     assert render.markdown_documents(blocks, notes, front).first().markdown == "---\n\n## On \\[x]\n\n3. Three\n\n> \\- no list\n\nText\n\n[^1]: A\n\n[^2]: B\n"
+
+
+CHOICES = [
+    (["Anomniscient,"], ["An", "omniscient,"], {"An", "omniscient,"}, "layer"),
+    (["we", "ve"], ["we've"], {"we've", "we"}, "layer"),
+    (["abc"], ["xyz"], {"xyz"}, "read"),
+    (["b°ing"], ["being"], {"being"}, "layer"),
+    (["being"], ["be|ng"], {"being"}, "read"),
+    (["fan"], ["if", "an"], {"fan", "if", "an"}, "layer"),
+    (["ban"], ["bank"], {"ban", "bank"}, "layer"),
+    (["bein"], ["beinq"], set(), "read"),
+]
+
+
+@pytest.mark.parametrize("read,layer,good,want", CHOICES)
+def test_choice(read, layer, good, want):
+    assert voting.chosen(read, layer, dict.fromkeys(good, True)) == (layer if want == "layer" else read)
+
+
+def test_choice_of_one_reading():
+    assert voting.chosen(["Being", "©", "~", "I"], [], {"I": True}) == ["Being", "I"] and voting.chosen([], ["x"], {}) == []
+
+
+def test_two_readings(spark):
+    schema = "doc_id long, page int, {} int, x0 double, y0 double, x1 double, y1 double, tokens array<string>"
+    lines = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 100.0, 10.0, ["the", "b°ing", "is"]), (1, 1, 2, 0.0, 40.0, 100.0, 50.0, ["alone", "©"])], schema.format("line_no"))
+    layer = spark.createDataFrame([(1, 1, 1, 0.0, 5.0, 100.0, 15.0, ["the", "being", "is"]), (1, 1, 2, 200.0, 0.0, 300.0, 10.0, ["the", "b°ing", "is"]), (2, 1, 1, 0.0, 0.0, 100.0, 10.0, ["the"])], schema.format("layer_no"))
+    known = spark.createDataFrame([(w,) for w in ("the", "being", "is")], "word string")
+    matched = voting.matched_lines(lines, layer)
+    assert {r.line_no: r.layer_tokens for r in matched.collect()} == {1: ["the", "being", "is"], 2: None}
+    assert {r.line_no: r.tokens for r in voting.voted_lines(matched, known).collect()} == {1: ["the", "being", "is"], 2: ["alone"]}
+
+
+def test_stray_figures(spark):
+    schema = "doc_id long, page int, line_no int, x0 double, x1 double, top double, bottom double, baseline double, size double, text string"
+    lines = [(1, 1, 1, 0.0, 100.0, 110.0, 98.0, 100.0, 10.0, "A line"), (1, 1, 2, 0.0, 90.0, 90.0, 78.0, 80.0, 10.0, "Another"), (1, 1, 3, 101.0, 104.0, 109.0, 104.0, 104.0, 10.0, "a."), (1, 1, 4, 300.0, 304.0, 109.0, 104.0, 104.0, 10.0, "b")]
+    got = voting.with_stray_figures(spark.createDataFrame(lines, schema)).collect()
+    assert {r.line_no: r.host for r in got} == {1: None, 2: None, 3: 1, 4: None}
