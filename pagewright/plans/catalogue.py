@@ -350,8 +350,8 @@ def heading_levels(spark, sf_dir):
 WITH p AS (SELECT n_regionkey AS doc_id, 1 AS r, n_nationkey AS place, '# ' || n_name AS part FROM nation UNION ALL SELECT s_nationkey % 5, 2, s_suppkey, '[^' || s_suppkey || ']: ' || s_name FROM supplier)
 SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY r, place) || chr(10) AS markdown FROM p GROUP BY doc_id""")
 def markdown_documents(spark, sf_dir):
-    blocks = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_nationkey").alias("seq"), F.lit("h").alias("kind"), F.lit(1).alias("level"), F.col("n_name").alias("text"))
-    notes = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).cast("long").alias("doc_id"), F.col("s_suppkey").alias("note"), F.col("s_name").alias("text"))
+    blocks = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("seq"), F.lit("h").alias("kind"), F.lit(1).alias("level"), F.col("n_name").alias("text"))
+    notes = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("doc_id"), F.col("s_suppkey").alias("note"), F.col("s_name").alias("text"))
     return render.markdown_documents(blocks, notes)
 
 
