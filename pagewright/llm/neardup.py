@@ -5,9 +5,11 @@ into bands, whose number and rows are chosen for a target recall; nodes meet by
 a bucket every node is tested against the bucket's smallest node (its hub), on the full sets; small buckets test all
 their nodes against each other. Nodes of a larger bucket that haven't come into their hub's class are
 then tested against HUBS nodes of that class and, as a new bucket, against each other or, if they are many, against
-HUBS of themselves; this is done up to ROUNDS times. So the number of tests is a fixed multiple of the number of
-nodes in buckets, and no bucket's pairs are all made. What that can miss is stated in the README. Classes are the connected components of the links found, by repeated contraction onto the smallest neighbour
-(nodes are named by hashes, so a constant share goes each time).
+HUBS of themselves; this is done up to ROUNDS times. What is then still apart from its hub's class is tested exactly,
+against all nodes of its bucket that are in another class: in blocks of BLOCK nodes a side, within which the sets'
+common n-grams are counted without a row for any pair, so only links come out. So no two nodes that meet in a bucket
+and are linked end in different classes. Classes are the connected components of the links found, by repeated
+contraction onto the smallest neighbour (nodes are named by hashes, so a constant share goes each time).
 
 Edge cases: rows with a null id take no part (class and links null); null texts and texts without a word are a class
 each; texts of fewer than n words are linked only to equal ones; rows that repeat are each returned; rows that share an
@@ -32,6 +34,8 @@ from pagewright.session import stored
 N, SIMILAR, RECALL, HASHES = 5, 0.8, 0.9995, 128
 #: Buckets up to this size test all their pairs, as do what is left of larger ones up to the second size; hubs and further rounds of larger buckets; pairs that share a copy of their hub's set; words that a worker remembers.
 SMALL, REST, HUBS, ROUNDS, SHARE, MEMORY = 8, 64, 8, 3, 128, 200_000
+#: Nodes of a block, about, on each side of the exact test.
+BLOCK = 256
 #: Bits of the filter that goes before the join with the texts.
 BITS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -149,7 +153,7 @@ def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "a binary, b binary, similar double")
 
 
-def components(links: DataFrame) -> DataFrame | None:
+def components(links: DataFrame) -> DataFrame:
     """node and label (the same for a whole component) of every node in links (a, b)."""
     edges, labels = stored(links.select("a", "b"), "edges"), None
     while not edges.isEmpty():
@@ -163,7 +167,7 @@ def components(links: DataFrame) -> DataFrame | None:
         left = step(edges, "a").select(F.col("parent").alias("pa"), "b")
         moved = step(left, "b").select(F.least("pa", "parent").alias("a"), F.greatest("pa", "parent").alias("b")).where("a <> b")
         edges = stored(moved.distinct(), "edges")
-    return labels
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
 
 
 def all_pairs(members: DataFrame, most: int) -> DataFrame:
@@ -177,10 +181,62 @@ def under_hubs(members: DataFrame, hubs: DataFrame) -> DataFrame:
     """(a, b, cnt): members (key, node) against the hubs of their bucket, HUBS nodes of `hubs` (key, node), one for each remainder of their hash."""
     few = hubs.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("r")).agg(F.min("node").alias("hub"), F.count("*").alias("n"))
     few = stored(few.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("n").alias("n")), "hubs")
-    met = hot_left_join(members.select("key", "node"), few, "key", "n", "node", ["hubs", "n"])
+    met = hot_left_join(members.select("key", "node"), few, "key", "n", "node", ["hubs", "n"]).where("hubs IS NOT NULL")
     return met.select(F.explode("hubs").alias("hub"), "node", "n").where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), F.col("n").alias("cnt"))
 
 
+def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (key, node, hub, cnt) with node_label and hub_label; nodes without a link are their own class."""
+    sized = hot_left_join(labels, labels.groupBy("label").agg(F.count("*").alias("n")), "label", "n", "node", ["n"])
+    for key, spread in (("hub", "node"), ("node", "key")):
+        named = sized.select(F.col("node").alias(key), "n", F.col("label").alias(f"{key}_label"))
+        members = hot_left_join(members, named, key, "n", spread, [f"{key}_label"]).withColumn(f"{key}_label", F.coalesce(f"{key}_label", key))
+    return members
+
+
+def common_counts(x: np.ndarray, values: np.ndarray, owners: np.ndarray, many: int) -> np.ndarray:
+    """How many of x's hashes each of `many` sets has; values are all their hashes, sorted, beside their owners."""
+    lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+    runs = hi - lo
+    at = np.arange(runs.sum()) + np.repeat(lo - np.cumsum(runs) + runs, runs)
+    return np.bincount(owners[at], minlength=many)
+
+
+def completed(marked: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """a, b, similar: every link between a node that is apart from its hub's class and a node of its bucket in another class.
+
+    marked: key, node, node_label, hub_label. Both sides are dealt out into blocks by hash, and each pair of blocks is a
+    group of its own, so that no bucket goes to one task and memory is bounded by a block's sets.
+    """
+    apart = F.col("node_label") != F.col("hub_label")
+    counts = marked.groupBy("key").agg(F.count("*").alias("all"), F.count_if(apart).alias("apart")).where("apart > 0")
+    met = hot_left_join(marked, counts, "key", "all", "node", ["all", "apart"]).where("apart IS NOT NULL")
+    met = met.select("key", "node", F.col("node_label").alias("label"), apart.alias("is_apart"), F.ceil(F.col("all") / BLOCK).alias("columns"), F.ceil(F.col("apart") / BLOCK).alias("rows"))
+    met = met.join(sets, "node")
+    here = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks))
+    left = met.where("is_apart").withColumn("i", here("rows")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)))
+    right = met.withColumn("j", here("columns")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select("key", "i", "j", "side", "node", "label", "grams")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        out = []
+        if len(x) and len(y):
+            theirs = [np.frombuffer(g, "u8") for g in y.grams]
+            sizes, values = np.array([len(g) for g in theirs]), np.concatenate(theirs)
+            order = np.argsort(values, kind="stable")
+            values, owners = values[order], np.repeat(np.arange(len(theirs)), sizes)[order]
+            names, labels = y.node.to_numpy(), y.label.to_numpy()
+            for node, label, g in zip(x.node, x.label, x.grams, strict=True):
+                g = np.frombuffer(g, "u8")
+                common = common_counts(g, values, owners, len(theirs))
+                alike = common / (len(g) + sizes - common)
+                out += [(min(node, names[k]), max(node, names[k]), alike[k]) for k in np.flatnonzero(alike >= similar) if labels[k] != label]
+        return pd.DataFrame(out, columns=["a", "b", "similar"])
+
+    return both.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary, similar double").dropDuplicates(["a", "b"])
+
+
 def classes(docs: DataFrame, n: int = N, similar: float = SIMILAR, recall: float = RECALL, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest id of the class), n_links (links of its text to other texts that were verified), n_copies."""
     bands, rows = banding(similar, recall, hashes)
@@ -202,14 +258,10 @@ def classes(docs: DataFrame, n: int = N, similar: float = SIMILAR, recall: float
         every = reduce(DataFrame.union, results)
         links = every.where(F.col("similar") >= similar)
         labels = components(links)
-        if labels is None or k == ROUNDS or active.isEmpty():
+        if k == ROUNDS or active.isEmpty():
             break
         # Nodes of larger buckets that are in another class than their hub.
-        sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
-        label = lambda rows, key: hot_left_join(rows, degree.select(F.col("node").alias(key), "n", F.col("label").alias(f"{key}_label")), key, "n", "node" if key == "hub" else "key", [f"{key}_label"]).withColumn(f"{key}_label", F.coalesce(f"{key}_label", key))  # noqa: E731, B023
-        degree = sized.select("node", "label", F.col("size").alias("n"))
-        marked = label(label(active, "hub"), "node")
-        marked = stored(marked, "marked")
+        marked = stored(with_labels(active, labels), "marked")
         apart = marked.where("node_label <> hub_label")
         if apart.isEmpty():
             break
@@ -222,10 +274,14 @@ def classes(docs: DataFrame, n: int = N, similar: float = SIMILAR, recall: float
         results.append(stored(tested(new, sets), "tested"))
         active = large
 
+    larger = members.where(F.col("cnt") > SMALL)
+    if not larger.isEmpty():
+        found = stored(completed(stored(with_labels(larger, labels), "marked"), sets, similar), "completed")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
     distinct = links.select("a", "b").distinct()
     degrees = distinct.select(F.col("a").alias("node")).union(distinct.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    if labels is None:
-        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     linked = stored(labels.join(degrees, "node").join(nodes.select("node", "doc_id"), "node"), "linked")
     first = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
     linked = hot_left_join(linked, first, "label", "size", "node", ["class_id"]).select("node", "class_id", "n_links")

@@ -199,8 +199,8 @@ def test_near_copies(spark, docs):
     assert neardup.classes(table(spark, rows).limit(0)).count() == 0
 
 
-def test_near_copies_brute(spark, docs):
-    texts = {r.doc_id: set(neardup.gram_set(r.text).tolist()) for r in docs.collect()}
+def brute_classes(rows):
+    texts = {i: set(neardup.gram_set(t).tolist()) for i, t in rows}
     head = {d: d for d in texts}
 
     def find(x):
@@ -212,7 +212,34 @@ def test_near_copies_brute(spark, docs):
         if (both := len(texts[a] & texts[b])) and both / len(texts[a] | texts[b]) >= 0.8:
             x, y = sorted((find(a), find(b)))
             head[y] = x
-    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {d: find(d) for d in texts}
+    return {d: find(d) for d in texts}
+
+
+def test_near_copies_brute(spark, docs):
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_large_bucket_brute(spark, monkeypatch):
+    """Variants about as far from each other as links allow: what the hubs miss, blocks smaller than the bucket find."""
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    monkeypatch.setattr(neardup, "HUBS", 1)
+    draw, base = random.Random(5), [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(400):
+        ws = list(base)
+        for k in range(draw.randrange(2, 9)):
+            ws[draw.randrange(300)] = f"v{i}x{k}"
+        rows.append((i, " ".join(ws)))
+    want, got = brute_classes(rows), {r.doc_id: r.class_id for r in neardup.classes(table(spark, rows)).collect()}
+    assert got == want and 1 < len(set(want.values())) < 400
+
+
+def test_common_counts():
+    sets = [np.array([1, 5, 9], "u8"), np.array([2, 5], "u8"), np.array([7], "u8")]
+    values, owners = np.concatenate(sets), np.repeat([0, 1, 2], [3, 2, 1])
+    order = np.argsort(values, kind="stable")
+    assert neardup.common_counts(np.array([5, 9, 11], "u8"), values[order], owners[order], 3).tolist() == [2, 1, 0]
+    assert neardup.common_counts(np.array([4], "u8"), values[order], owners[order], 3).tolist() == [0, 0, 0]
 
 
 def test_pipeline(spark):
