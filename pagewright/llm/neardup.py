@@ -182,6 +182,8 @@ def under_hubs(members: DataFrame, hubs: DataFrame) -> DataFrame:
     few = hubs.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("r")).agg(F.min("node").alias("hub"), F.count("*").alias("n"))
     few = stored(few.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("n").alias("n")), "hubs")
     met = hot_left_join(members.select("key", "node"), few, "key", "n", "node", ["hubs", "n"]).where("hubs IS NOT NULL")
+    # A node's buckets (one a band) mostly share their hubs: they are put together before rows are made of them.
+    met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"), F.max("n").alias("n"))
     return met.select(F.explode("hubs").alias("hub"), "node", "n").where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), F.col("n").alias("cnt"))
 
 
