@@ -137,7 +137,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, similar for pairs (a, b, cnt). The set of a hub with many pairs is dealt out in copies."""
-    pairs = pairs.withColumn("copies", F.ceil(F.col("cnt") / SHARE)).withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies"))).drop("cnt")
+    # Stored, as they are read twice: for the hubs' sets and for the others'.
+    pairs = stored(pairs, "pairs").withColumn("copies", F.ceil(F.col("cnt") / SHARE)).withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies"))).drop("cnt")
     hubs = pairs.groupBy("a", "copies", "copy").agg(F.count("*").alias("_n")).drop("_n").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").join(hubs, ["a", "copies", "copy"]).select("a", "b", "x", "y")
 
