@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from pagewright.functions import text as tx
 from pagewright.operators import documents as dc
-from pagewright.operators import folios, outline, paragraphs, render, voting
+from pagewright.operators import folios, ink, outline, paragraphs, render, scans, voting
 from pagewright.operators import rows as rw
 
 FLAGSHIP = "toc_style_levels"
@@ -217,7 +217,7 @@ def _rows(spark, rows, schema):
 
 
 _TOC = [("VIIL. The Problem of Evil 27", "VIII. The Problem of Evil", 27, "roman"), ("1.1 Bar . 17", "1.1 Bar", 17, "arabic_dotted"), ("(AA.) Reason", "(AA.) Reason", None, "paren_double_upper"), ("L. Logic 3", "I. Logic", 3, "roman"), ("a. Being", "a. Being", None, "letter_lower"), ("Preface", "Preface", None, "none"), ("I11. Notion 101", "III. Notion", 101, "roman"), ("title.....27", "title.....27", None, "none")]
-_quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+_quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"{x}::DOUBLE" if isinstance(x, float) else "'" + x.replace("'", "''") + "'"
 _sql = lambda rows, names: f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_quote, r)) + ')' for r in rows)}) AS t({names})"
 
 
@@ -394,3 +394,58 @@ SELECT count(*) AS tokens, count(*) FILTER (regexp_matches(word, '^(m{0,3}(cm|cd
 def valid_share(spark, sf_dir):
     tokens = _words(spark, sf_dir, "conversations").withColumnRenamed("word", "token")
     return voting.valid_tokens(tokens, _words(spark, sf_dir, "benchmark")).agg(F.count("*").alias("tokens"), F.count_if("valid").alias("valid"))
+
+
+# (shape) line items as inked pixels of their orders' images.
+@query("""
+WITH c AS (SELECT l_orderkey AS image_id, CAST(l_quantity AS BIGINT) AS x, min(l_linenumber) AS top, max(l_linenumber) AS bottom FROM lineitem GROUP BY 1, 2),
+i AS (SELECT *, x - row_number() OVER (PARTITION BY image_id ORDER BY x) AS island FROM c)
+SELECT image_id, min(x) AS c0, max(x) + 1 AS c1, min(top) AS top, max(bottom) AS bottom FROM i GROUP BY image_id, island""")
+def ink_runs(spark, sf_dir):
+    return ink.ink_runs(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_quantity").cast("long").alias("x"), F.col("l_linenumber").alias("y")))
+
+
+# (shape) line items as inked pixels of their suppliers' images.
+@query("""
+WITH p AS (SELECT DISTINCT l_suppkey AS image_id, CAST(l_quantity AS BIGINT) AS x, CAST(round(l_discount * 100) AS BIGINT) AS y FROM lineitem),
+h AS (SELECT image_id, a AS slant, x - CAST(round_even((10 - y) * tan(radians(a)), 0) AS BIGINT) AS col, count(*) AS n FROM p, (SELECT unnest(range(-8, 25, 2)) AS a) GROUP BY 1, 2, 3),
+s AS (SELECT image_id, slant, sum(n * n) AS sharp, sum(n) AS ink FROM h GROUP BY 1, 2),
+b AS (SELECT image_id, arg_max(slant, sharp * 100 - slant) AS slant, max(sharp) AS sharp, max(sharp) FILTER (slant = 0) AS upright, max(ink) AS ink FROM s GROUP BY 1)
+SELECT image_id, CASE WHEN ink >= 20 THEN CAST(slant AS DOUBLE) END AS slant, CASE WHEN ink >= 20 THEN CAST(sharp AS DOUBLE) / CAST(upright AS DOUBLE) ELSE 0.0 END AS gain FROM b""")
+def word_slants(spark, sf_dir):
+    pixels = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image_id"), F.col("l_quantity").cast("long").alias("x"), F.round(F.col("l_discount") * 100).cast("long").alias("y")).distinct()
+    return ink.slants(pixels, pixels.select("image_id").distinct().select("image_id", F.lit(51).alias("width"), F.lit(11).alias("height")))
+
+
+# (shape) orders as pages of their customers' scans, urgent ones as right halves.
+@query("SELECT o_custkey AS doc_id, o_orderkey AS pdf_page, CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS half, o_orderkey + CAST(sum(CAST(o_orderpriority = '1-URGENT' AS INTEGER)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS number FROM orders")
+def spread_numbers(spark, sf_dir):
+    return ink.numbered_spreads(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pdf_page"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("half")))
+
+
+_RANGES = [("12-15", "12 13 14 15"), ("3,5,9-11", "3 5 9 10 11"), ("7", "7"), ("4,2-4", "2 3 4"), ("", None), ("9-7", "")]
+
+
+# (values) pages asked for.
+@query(_sql(_RANGES, "spec, pages"))
+def page_ranges(spark, sf_dir):
+    return _rows(spark, [(r[0],) for r in _RANGES], "spec string").withColumn("pages", F.array_join(ink.page_range(F.col("spec")), " "))
+
+
+# (shape) line items as words of a page, their slant from the quantity and their gain from the discount.
+@query("""
+WITH w AS (SELECT l_orderkey AS page_id, l_linenumber AS word_num, CASE l_returnflag WHEN 'N' THEN 'no' ELSE 'back' END AS text, CAST(l_quantity AS DOUBLE) - 20 AS slant, 1 + CAST(l_discount AS DOUBLE) * 2 AS gain FROM lineitem),
+p AS (SELECT page_id, coalesce(quantile_cont(slant, 0.5) FILTER (len(regexp_replace(text, '\\W', '', 'g')) >= 3), 0) AS middle FROM w GROUP BY 1)
+SELECT w.page_id, word_num, text, slant - middle BETWEEN 8 AND 20 AND gain >= CASE WHEN len(text) <= 2 THEN 1.12::DOUBLE ELSE 1.1::DOUBLE END AS italic FROM w JOIN p USING (page_id)""")
+def italic_words(spark, sf_dir):
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("word_num"), F.when(F.col("l_returnflag") == "N", "no").otherwise("back").alias("text"), (F.col("l_quantity").cast("double") - 20).alias("slant"), (F.col("l_discount").cast("double") * 2 + 1).alias("gain"))
+    return scans.italic_words(words).select("page_id", "word_num", "text", "italic")
+
+
+_MARKS = [(0.95, 0.45, "sup"), (0.8, 0.6, "quote"), (0.2, -0.3, "sub"), (0.2, -0.1, "comma"), (0.15, 0.0, "period"), (0.9, 0.0, "glyph")]
+
+
+# (values) marks beside a word.
+@query(_sql(_MARKS, "top, bottom, kind"))
+def mark_kinds(spark, sf_dir):
+    return _rows(spark, [r[:2] for r in _MARKS], "top double, bottom double").withColumn("kind", scans.mark_kind(F.col("top"), F.col("bottom")))

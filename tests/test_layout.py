@@ -4,13 +4,16 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from pagewright.functions import text as tx
-from pagewright.operators import documents, folios, outline, paragraphs, render, voting
+from pagewright.operators import documents, folios, ink, outline, paragraphs, render, scans, voting
 from pagewright.operators import rows as rw
 from pagewright.plans import catalogue
 from pagewright.sources import words
@@ -185,3 +188,73 @@ def test_stray_figures(spark):
     lines = [(1, 1, 1, 0.0, 100.0, 110.0, 98.0, 100.0, 10.0, "A line"), (1, 1, 2, 0.0, 90.0, 90.0, 78.0, 80.0, 10.0, "Another"), (1, 1, 3, 101.0, 104.0, 109.0, 104.0, 104.0, 10.0, "a."), (1, 1, 4, 300.0, 304.0, 109.0, 104.0, 104.0, 10.0, "b")]
     got = voting.with_stray_figures(spark.createDataFrame(lines, schema)).collect()
     assert {r.line_no: r.host for r in got} == {1: None, 2: None, 3: 1, 4: None}
+
+
+def _pixels(spark, ink_of):
+    rows = [(i, int(x), int(y)) for i, a in ink_of.items() for y, x in zip(*np.nonzero(a), strict=True)]
+    sizes = [(i, a.shape[1], a.shape[0]) for i, a in ink_of.items()]
+    return spark.createDataFrame(rows, "image_id long, x long, y long"), spark.createDataFrame(sizes, "image_id long, width int, height int")
+
+
+def test_ink_kernels(spark):
+    leaning, upright, rule, tiny = np.zeros((40, 60), bool), np.zeros((40, 60), bool), np.zeros((60, 200), bool), np.ones((3, 3), bool)
+    for y in range(40):
+        for x in (10, 30):
+            leaning[y, x + round((39 - y) * np.tan(np.radians(12)))] = upright[y, x] = True
+    rule[20:22, 50:150] = rule[40:50, 50:150] = rule[5, 0:100] = True
+    pixels, sizes = _pixels(spark, {1: leaning, 2: upright, 3: rule, 4: tiny})
+    got = {r.image_id: (r.slant, r.gain) for r in ink.slants(pixels, sizes).collect()}
+    assert got[1][0] == 12 and got[1][1] > 1.1 and got[2] == (0.0, 1.0) and got[4] == (None, 0.0)
+    boxes = spark.createDataFrame([(3, 0, 12)], "image_id long, top int, bottom int")
+    # The thick band is no rule; the row within a line of text is none either.
+    assert [tuple(r) for r in ink.rules(pixels, sizes, boxes, 100).collect()] == [(3, 50, 150, 21)]
+    runs = sorted(tuple(r)[1:] for r in ink.ink_runs(pixels.where("image_id = 2")).collect())
+    assert runs == [(10, 11, 0, 39), (30, 31, 0, 39)]
+
+
+def test_skew(spark):
+    level, turned = np.zeros((400, 600), bool), np.zeros((400, 600), bool)
+    for line in range(50, 350, 20):
+        for x in range(50, 550):
+            level[line, x] = turned[line + round((x - 300) * np.tan(np.radians(2.0))), x] = True
+    got = {r.image_id: r.skew for r in ink.skews(*_pixels(spark, {1: level, 2: turned, 3: np.ones((3, 3), bool)}), 150).collect()}
+    assert abs(got[1]) <= 0.1 and abs(got[2] - 2.0) <= 0.15 and got[3] == 0.0
+
+
+def test_region_points_round_trip(spark):
+    df = spark.createDataFrame([(12.0, 30.0, 100, 1.5, 200, 300), (0.0, 0.0, 0, 0.0, 10, 10)], "x double, y double, x0 int, angle double, width int, height int")
+    region = F.struct("x0", "angle", "width", "height")
+    there = ink.to_source(F.col("x"), F.col("y"), region)
+    for r in df.select("x", "y", *[c.alias(n) for c, n in zip(ink.from_source(*there, region), "ab", strict=True)]).collect():
+        assert abs(r.x - r.a) < 1e-9 and abs(r.y - r.b) < 1e-9
+
+
+def test_handwriting(spark):
+    lines = {
+        1: [("12", 5.0, False)],
+        2: [("~", 90.0, False)],
+        3: [("III", 30.0, False)],
+        4: [("9I", 20.0, False)],
+        5: [("started.*", 10.0, True)],
+        6: [("el", 40.0, False), ("hfe", 40.0, False), ("wehkine", 40.0, False), ("rch", 40.0, False)],
+        7: [("plain", 40.0, True), ("printed", 40.0, True), ("words", 40.0, True), ("follow", 40.0, True)],
+        8: [("fremde", 80.0, False), ("Worte", 80.0, False), ("hier", 80.0, False)],
+        9: [("...", 90.0, False), (".", 90.0, False)],
+    }
+    words = spark.createDataFrame([(1, n, *w) for n, ws in lines.items() for w in ws], "page_id int, line_num int, text string, conf double, valid boolean")
+    assert {r.line_num for r in scans.handwritten_lines(words).where("handwritten").collect()} == {2, 4, 6}
+
+
+def test_type_sizes_and_symbols(spark):
+    lines = spark.createDataFrame([(1, [9.0, 8.0, 10.0, 9.0], [14.0], 7.0), (2, [9.0], [13.6, 13.6], 7.0), (3, [], [], 7.0)], "id int, x_heights array<double>, capitals array<double>, x_size double")
+    assert [round(r.size, 6) for r in scans.type_sizes(lines).orderBy("id").collect()] == [20.0, 20.0, 10.0]
+    words = spark.createDataFrame([(1, k, t, i) for k, (t, i) in enumerate([("G", True), ("G,", True), ("(G)", False), ("G.", False), ("OG", True), ("OG", False), ("ABCD", True), ("Word", False)])], "doc_id int, n int, text string, italic boolean")
+    assert [r.italic for r in scans.symbols_in_italics(words).orderBy("n").collect()] == [True, True, True, False, True, False, True, False]
+    df = spark.createDataFrame([("7", False), ("l", False), ("o", False), ("o", True), ("é", True), ("*", False)], "m string, d boolean")
+    assert [r.f for r in df.select(scans.figure_like(F.col("m"), F.col("d")).alias("f")).collect()] == [True, True, False, True, False, True]
+
+
+def test_text_layer_warnings(spark):
+    rows = spark.createDataFrame([(1, "words", False), (2, "(cid:7)" * 21, False), (3, " ", False), (4, "read", True), (5, "fine", False)], "doc_id int, text string, scanned boolean")
+    docs = spark.createDataFrame([(1, 0.9, False), (2, 0.0, False), (3, 0.0, False), (4, 0.9, True), (5, 0.9, True), (6, 0.0, False)], "doc_id int, invisible_share double, recognised boolean")
+    assert {r.doc_id: r.warning for r in scans.text_layer_warnings(rows, docs).collect()} == {1: "invisible", 2: "unmapped", 3: "empty", 6: "empty"}
