@@ -9,7 +9,8 @@ HUBS of themselves; this is done up to ROUNDS times. What is then still apart fr
 against all nodes of its bucket that are in another class: in blocks of BLOCK nodes a side, within which the sets'
 common n-grams are counted without a row for any pair, so only links come out. So no two nodes that meet in a bucket
 and are linked end in different classes. Classes are the connected components of the links found, by repeated
-contraction onto the smallest neighbour (nodes are named by hashes, so a constant share goes each time).
+contraction onto the smallest neighbour (nodes are named by hashes, so a constant share goes each time). Links are
+counted last: all pairs of a class are tested in blocks, whatever buckets they met in.
 
 Edge cases: rows with a null id take no part (class and links null); null texts and texts without a word are a class
 each; texts of fewer than n words are linked only to equal ones; rows that repeat are each returned; rows that share an
@@ -240,8 +241,44 @@ def completed(marked: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return both.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary, similar double").dropDuplicates(["a", "b"])
 
 
+def degrees(labels: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """node and n_links: how many texts of its class each node is linked to, each pair of a class tested on the full sets.
+
+    The nodes of a class are dealt out into blocks by hash, and each pair of blocks is a group of its own, which gives one
+    count a node and no row for a link; so no class goes to one task. The work grows with the square of a class's texts.
+    """
+    sized = hot_left_join(labels, labels.groupBy("label").agg(F.count("*").alias("n")), "label", "n", "node", ["n"])
+    blocks = F.ceil(F.col("n") / BLOCK)
+    met = sized.where("n > 2").join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = met.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "grams")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf.i.iloc[0], pdf.j.iloc[0]
+        x, y = pdf[pdf.own == i], pdf[pdf.own == j]
+        ours, theirs = np.zeros(len(x), "i8"), np.zeros(len(y), "i8")
+        if len(x) and len(y):
+            grams = [np.frombuffer(g, "u8") for g in y.grams]
+            sizes, values = np.array([len(g) for g in grams]), np.concatenate(grams)
+            order = np.argsort(values, kind="stable")
+            values, owners = values[order], np.repeat(np.arange(len(grams)), sizes)[order]
+            for k, g in enumerate(x.grams):
+                g = np.frombuffer(g, "u8")
+                common = common_counts(g, values, owners, len(grams))
+                alike = common / (len(g) + sizes - common) >= similar
+                if i == j:
+                    alike[k] = False
+                ours[k] = alike.sum()
+                theirs += alike
+        # Within a block each pair is met from both sides.
+        counts = [(x, ours)] if i == j else [(x, ours), (y, theirs)]
+        return pd.concat([pd.DataFrame({"node": side.node.to_numpy(), "n_links": n}) for side, n in counts])
+
+    many = met.groupBy("label", "i", "j").applyInPandas(run, "node binary, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return many.unionByName(sized.where("n = 2").select("node", F.lit(1).cast("long").alias("n_links")))
+
+
 def classes(docs: DataFrame, n: int = N, similar: float = SIMILAR, recall: float = RECALL, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest id of the class), n_links (links of its text to other texts that were verified), n_copies."""
+    """doc_id, class_id (smallest id of the class), n_links (other texts of the class that its text is linked to), n_copies."""
     bands, rows = banding(similar, recall, hashes)
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -283,9 +320,7 @@ def classes(docs: DataFrame, n: int = N, similar: float = SIMILAR, recall: float
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
-    distinct = links.select("a", "b").distinct()
-    degrees = distinct.select(F.col("a").alias("node")).union(distinct.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = stored(labels.join(degrees, "node").join(nodes.select("node", "doc_id"), "node"), "linked")
+    linked = stored(labels.join(degrees(labels, sets, similar), "node").join(nodes.select("node", "doc_id"), "node"), "linked")
     first = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
     linked = hot_left_join(linked, first, "label", "size", "node", ["class_id"]).select("node", "class_id", "n_links")
     whole = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))

@@ -234,6 +234,30 @@ def test_large_bucket_brute(spark, monkeypatch):
     assert got == want and 1 < len(set(want.values())) < 400
 
 
+def brute_links(rows):
+    """Number of other texts that each row's text is linked to; equal sets are one text."""
+    texts = {i: frozenset(neardup.gram_set(t).tolist()) for i, t in rows}
+    near = {a: sum(a != b and len(a & b) / len(a | b) >= 0.8 for b in set(texts.values())) if a else 0 for a in set(texts.values())}
+    return {i: near[t] for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_links_brute(spark, monkeypatch, block):
+    """Links within a class, in groups below and above the size of a small bucket and of a block."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    draw, rows = random.Random(8), [(0, None), (1, ""), (2, "two words"), (3, "two words")]
+    for group, size in enumerate((2, 3, 8, 9, 40)):
+        base = [f"g{group}w{k}" for k in range(300)]
+        for i in range(size):
+            ws = list(base)
+            for k in range(draw.randrange(1, 7)):
+                ws[draw.randrange(300)] = f"v{i}x{k}"
+            rows.append((len(rows), " ".join(ws)))
+    rows += [(len(rows), rows[-1][1])]
+    want = brute_links(rows)
+    assert {r.doc_id: r.n_links for r in neardup.classes(table(spark, rows)).collect()} == want and len(set(want.values())) > 8
+
+
 def test_common_counts():
     sets = [np.array([1, 5, 9], "u8"), np.array([2, 5], "u8"), np.array([7], "u8")]
     values, owners = np.concatenate(sets), np.repeat([0, 1, 2], [3, 2, 1])
