@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import deque
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pagewright.functions import text as tx
@@ -96,16 +99,37 @@ def crossref_fields(records: DataFrame) -> DataFrame:
 
 
 def linked_notes(refs: DataFrame, notes: DataFrame) -> DataFrame:
-    """refs (doc_id, page, seq, label) with note_id: the n-th reference of a label on a page is the n-th note of it; then
-    the n-th one left over on the page is the n-th free note there."""
+    """refs (doc_id, page, seq, label) with note_id: the n-th reference of a label on a page is the n-th note of it, but for '?'.
+    Then, document by document in order, those left over whose label is a number, '?' or marks take the first free note of
+    their page, of the next or of the one before, which lend only if they have more notes than such references."""
     nth = lambda df, by, name: df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy("seq")))
-    by_label = ["doc_id", "page", "label"]
-    notes = notes.select("doc_id", "page", "seq", "label", "note_id")
-    first = nth(refs, by_label, "k").join(nth(notes, by_label, "k").select(*by_label, "k", "note_id"), [*by_label, "k"], "left").drop("k")
-    free = notes.join(first.where("note_id IS NOT NULL").select("note_id"), "note_id", "left_anti")
-    page = ["doc_id", "page"]
-    late = nth(first.where("note_id IS NULL").drop("note_id"), page, "k").join(nth(free, page, "k").select(*page, "k", "note_id"), [*page, "k"], "left").drop("k")
-    return first.where("note_id IS NOT NULL").select(*refs.columns, "note_id").unionByName(late.select(*refs.columns, "note_id"))
+    by_label, page = ["doc_id", "page", "label"], ["doc_id", "page"]
+    notes = notes.select(*by_label, "seq", "note_id")
+    named = nth(notes.where(F.col("label").cast("string") != "?"), by_label, "k").select(*by_label, "k", "note_id")
+    first = nth(refs, by_label, "k").join(named, [*by_label, "k"], "left").select(*refs.columns, "note_id")
+    free = notes.where("doc_id IS NOT NULL AND page IS NOT NULL").join(first.where("note_id IS NOT NULL").select("doc_id", "note_id"), ["doc_id", "note_id"], "left_anti")
+    meant = F.coalesce(F.col("label").cast("string").rlike(r"^(?:\d{1,3}|\?|[*∗†‡]+)\z"), F.lit(False)) & F.col("doc_id").isNotNull() & F.col("page").isNotNull()
+    sizes = notes.groupBy(*page).agg(F.count("*").alias("_notes")).join(refs.where(meant).groupBy(*page).agg(F.count("*").alias("_refs")), page, "left")
+    lent = free.join(sizes.select(*page, (F.col("_notes") > F.coalesce("_refs", F.lit(0))).alias("lends")), page).select("doc_id", "page", "seq", "note_id", "lends")
+    late = first.where("note_id IS NULL").select(*refs.columns, meant.alias("_meant"))
+    schema = T.StructType([*refs.schema.fields, T.StructField("note_id", notes.schema["note_id"].dataType)])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, here = left.sort_by([("page", "ascending"), ("seq", "ascending")]), {}
+        for r in right.sort_by("seq").to_pylist():
+            here.setdefault(r["page"], deque()).append((r["note_id"], r["lends"]))
+        got = []
+        for at in left["page"].to_pylist():
+            # All free notes of a page have the same `lends`.
+            found = next((q for p in (at, at + 1, at - 1) if (q := here.get(p)) and (p == at or q[0][1])), None)
+            got.append(found.popleft()[0] if found else None)
+        return left.append_column("note_id", pa.array(got, right.schema.field("note_id").type))
+
+    # Columns of their own, as both may come from one table.
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    paired = fresh(late.where("_meant").drop("_meant")).groupBy("doc_id").cogroup(fresh(lent).groupBy("doc_id")).applyInArrow(run, schema)
+    rest = late.where("NOT _meant").select(*refs.columns, F.lit(None).cast(schema["note_id"].dataType).alias("note_id"))
+    return first.where("note_id IS NOT NULL").unionByName(paired).unionByName(rest)
 
 
 def carried_annotations(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -258,3 +258,11 @@ def test_text_layer_warnings(spark):
     rows = spark.createDataFrame([(1, "words", False), (2, "(cid:7)" * 21, False), (3, " ", False), (4, "read", True), (5, "fine", False)], "doc_id int, text string, scanned boolean")
     docs = spark.createDataFrame([(1, 0.9, False), (2, 0.0, False), (3, 0.0, False), (4, 0.9, True), (5, 0.9, True), (6, 0.0, False)], "doc_id int, invisible_share double, recognised boolean")
     assert {r.doc_id: r.warning for r in scans.text_layer_warnings(rows, docs).collect()} == {1: "invisible", 2: "unmapped", 3: "empty", 6: "empty"}
+
+
+def test_notes_over_pages(spark):
+    """A note pushed over a page break is lent only by a page with more notes than references; other raised text takes none."""
+    refs = spark.createDataFrame([(1, 1, 1, "1"), (1, 1, 2, "2"), (1, 2, 3, "3"), (1, 4, 4, "nd"), (1, 4, 5, "'"), (1, 4, 6, "9"), (1, 5, 7, "?"), (1, 6, 8, "7"), (2, 1, 1, "1"), (2, 2, 2, "*")], "doc_id long, page int, seq int, label string")
+    notes = spark.createDataFrame([(1, 1, 1, "1", 1), (1, 2, 2, "2", 2), (1, 2, 3, "3", 3), (1, 4, 4, "l", 4), (1, 5, 5, "?", 5), (2, 2, 1, "†", 1)], "doc_id long, page int, seq int, label string, note_id long")
+    got = {(r.doc_id, r.seq): r.note_id for r in documents.linked_notes(refs, notes).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (1, 4): None, (1, 5): None, (1, 6): 4, (1, 7): 5, (1, 8): None, (2, 1): None, (2, 2): 1}
