@@ -5,8 +5,10 @@ Words: doc_id, page, block_num, par_num, line_num, word_num, left, top, width, h
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pagewright.functions import text as tx
@@ -82,14 +84,50 @@ def with_parents(entries: DataFrame) -> DataFrame:
 
 
 def place_headings(entries: DataFrame, shows: DataFrame, reach: int = 20) -> DataFrame:
-    """entries (doc_id, seq, title) with found_page: first page on which up to `reach` text pieces, joined, begin with the title (from character 1 to 3).
+    """entries (doc_id, seq, title and, if there is one, a hint: page) with found_page, placed document by document in order.
 
-    shows: doc_id, page, seq, text. The join key is the document and the title's first letter or digit, which the
-    joined pieces must have within their first three characters.
+    shows: doc_id, page, seq, text; hints count pages as they do. An entry is sought from its hint, or else from the page of
+    the entry found before, and with a hint that misses from the first page on. It is on the first page on which up to
+    `reach` text pieces, with spaces between and no more than it takes, begin with the title (from character 1 to 3).
     """
-    ahead = W.partitionBy("doc_id", "page").orderBy("seq").rowsBetween(0, reach - 1)
-    joined = shows.withColumn("joined", tx.normalised(F.array_join(F.collect_list("text").over(ahead), "")))
-    keyed = joined.select("doc_id", "page", "joined", F.explode(F.array_distinct(F.split(F.substring("joined", 1, 3), ""))).alias("k"))
-    wanted = entries.select("doc_id", F.col("seq").alias("entry"), tx.normalised(F.col("title")).alias("t")).withColumn("k", F.substring("t", 1, 1))
-    found = wanted.join(keyed, ["doc_id", "k"]).where(F.expr("instr(joined, t) BETWEEN 1 AND 3")).groupBy("doc_id", "entry").agg(F.min("page").alias("found_page"))
-    return entries.join(found.withColumnRenamed("entry", "seq"), ["doc_id", "seq"], "left")
+    hint = F.col("page") if "page" in entries.columns else F.lit(None)
+    wanted = entries.select("doc_id", F.col("seq").alias("entry"), tx.normalised(F.col("title")).alias("t"), hint.cast("long").alias("hint"))
+    pieces = shows.select("doc_id", F.col("page").alias("at"), F.col("seq").alias("piece"), tx.normalised(F.col("text")).alias("text")).where("text <> '' AND at IS NOT NULL")
+    schema = T.StructType([T.StructField(n, df.schema[c].dataType) for n, df, c in (("doc_id", entries, "doc_id"), ("entry", entries, "seq"), ("found_page", shows, "page"))])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("entry"), right.sort_by([("at", "ascending"), ("piece", "ascending")])
+        pages: dict = {}
+        for at, text in zip(right["at"].to_pylist(), right["text"].to_pylist(), strict=True):
+            pages.setdefault(at, []).append(text)
+        order = list(pages)
+
+        def begins(texts: list[str], t: str) -> bool:
+            for i in range(len(texts)):
+                joined = texts[i]
+                for more in texts[i + 1 : i + reach]:
+                    if len(joined) >= len(t):
+                        break
+                    joined += " " + more
+                if 0 <= joined.find(t, 0, len(t) + 2) <= 2:
+                    return True
+            return False
+
+        def found(t: str, start):
+            return next((p for p in order if (start is None or p >= start) and begins(pages[p], t)), None)
+
+        cursor, got = None, []
+        for t, hint in zip(left["t"].to_pylist(), left["hint"].to_pylist(), strict=True):
+            at = None
+            if t and order:
+                at = found(t, cursor if hint is None else min(hint, order[-1]))
+                if at is None and hint is not None:
+                    at = found(t, None)
+            cursor = cursor if at is None else at
+            got.append(at)
+        return left.select(["doc_id", "entry"]).append_column("found_page", pa.array(got, right.schema.field("at").type))
+
+    # Columns of their own, as both may come from one table.
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).where("doc_id IS NOT NULL").groupBy("doc_id")
+    placed = fresh(wanted).cogroup(fresh(pieces)).applyInArrow(run, schema)
+    return entries.join(placed.select("doc_id", F.col("entry").alias("seq"), "found_page"), ["doc_id", "seq"], "left")

@@ -207,9 +207,10 @@ def placed_headings(spark, sf_dir):
     shows = events.select(F.col("user_id").alias("doc_id"), F.floor(F.col("event_id") / 100).alias("page"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
     kinds = events.select("event_type").distinct()
     # The kinds of events are a handful; each user gets the array of their pairs.
-    titles = kinds.agg(F.collect_set("event_type").alias("k")).select(F.flatten(F.transform("k", lambda a: F.transform("k", lambda b: F.concat(a, b)))).alias("titles"))
-    entries = events.select(F.col("user_id").alias("doc_id")).distinct().join(F.broadcast(titles)).select("doc_id", F.posexplode("titles").alias("seq", "title"))
-    return outline.place_headings(entries, shows).select("doc_id", "title", "found_page")
+    titles = kinds.agg(F.collect_set("event_type").alias("k")).select(F.flatten(F.transform("k", lambda a: F.transform("k", lambda b: F.concat_ws(" ", a, b)))).alias("titles"))
+    # Each pair is sought from the first page (the hint), in the pieces with spaces between; the pair is named without one.
+    entries = events.select(F.col("user_id").alias("doc_id")).distinct().join(F.broadcast(titles)).select("doc_id", F.posexplode("titles").alias("seq", "title"), F.lit(0).alias("page"))
+    return outline.place_headings(entries, shows).select("doc_id", F.replace("title", F.lit(" "), F.lit("")).alias("title"), "found_page")
 
 
 def _rows(spark, rows, schema):

@@ -266,3 +266,12 @@ def test_notes_over_pages(spark):
     notes = spark.createDataFrame([(1, 1, 1, "1", 1), (1, 2, 2, "2", 2), (1, 2, 3, "3", 3), (1, 4, 4, "l", 4), (1, 5, 5, "?", 5), (2, 2, 1, "†", 1)], "doc_id long, page int, seq int, label string, note_id long")
     got = {(r.doc_id, r.seq): r.note_id for r in documents.linked_notes(refs, notes).collect()}
     assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (1, 4): None, (1, 5): None, (1, 6): 4, (1, 7): 5, (1, 8): None, (2, 1): None, (2, 2): 1}
+
+
+def test_headings_in_order(spark):
+    """Pieces are joined with a space; entries go forward from the one before or from a hint, and a hint that misses sweeps all pages."""
+    pages = [(0, "Contents"), (0, "Introduction"), (0, "Notes"), (1, "* Introduction"), (2, "The"), (2, "Idea of It"), (3, "Notes"), (5, "Notes")]
+    shows = spark.createDataFrame([(1, p, i, t) for i, (p, t) in enumerate(pages)], "doc_id long, page long, seq int, text string")
+    entries = [("Contents", None), ("Introduction", 1), ("The Idea of It", None), ("Notes", None), ("Contents", 4), ("Notes", 9), ("Introduction", None), ("Absent", 2)]
+    got = outline.place_headings(spark.createDataFrame([(1, i, t, h) for i, (t, h) in enumerate(entries)], "doc_id long, seq int, title string, page int"), shows)
+    assert [r.found_page for r in got.orderBy("seq").collect()] == [0, 1, 2, 3, 0, 5, None, None]
