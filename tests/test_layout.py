@@ -275,3 +275,22 @@ def test_headings_in_order(spark):
     entries = [("Contents", None), ("Introduction", 1), ("The Idea of It", None), ("Notes", None), ("Contents", 4), ("Notes", 9), ("Introduction", None), ("Absent", 2)]
     got = outline.place_headings(spark.createDataFrame([(1, i, t, h) for i, (t, h) in enumerate(entries)], "doc_id long, seq int, title string, page int"), shows)
     assert [r.found_page for r in got.orderBy("seq").collect()] == [0, 1, 2, 3, 0, 5, None, None]
+
+
+def test_reading_errors_of_all_rows(spark):
+    """The whole benchmark, rows with letters beyond ASCII too, by plain dynamic programming."""
+    import unicodedata
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    tidy = lambda s: " ".join(unicodedata.normalize("NFC", s).split())
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    want = {i: distance(tidy(t), tidy(t.replace("the", "teh,"))) / max(len(tidy(t)), 1) for i, t in texts.items()}
+    got = {r.name: r.cer for r in catalogue.reading_errors_all(spark, DATA).collect()}
+    assert got == pytest.approx(want) and sum(not t.isascii() for t in texts.values()) == 13
