@@ -1,27 +1,32 @@
 """Toxicity classifier, logistic, with counterfactual regularisation.
 
-Identity terms in labelled texts are swapped for others of their group; the loss adds the squared change of the score
-that a swap makes, so that a neutral mention of a group doesn't count as toxic. Features are words and their
-beginnings. The model is fitted on the driver from at most `sample` labelled texts, of which only the counts of at
-most `vocabulary` chosen features are collected; the features are chosen by counts over that sample, taken on the
-executors. Every text is scored whole.
+Each labelled text has a counterfactual pair: the text and the same text in which its identity terms are swapped for others
+of their group. A text that names no group gets one of a group's terms put in (which, is told by a hash of its id), so that
+every text speaks of a group in one half of the pair or the other; half of those texts are also learnt from with the term in
+them. The loss adds the mean squared change of the score over the pairs, so that a neutral mention of a group doesn't count
+as toxic, whatever the labelled texts hold by chance. Features are words and their beginnings. The model is fitted on the
+driver from at most `sample` labelled texts, of which only the counts of at most `vocabulary` chosen features are collected;
+the features are chosen by counts over that sample, taken on the executors. Every text is scored whole.
 
 Edge cases: null and empty texts have no features and get the intercept's score; without labels of both classes every
 score is 0.5; ids that repeat in the labels count once, toxic if any of their labels is; repeated rows are each
-returned; rows with a null id are scored and never learnt from; other columns of the input are ignored.
+returned; rows with a null id are scored and never learnt from; an empty table gives no rows; columns of the input that are
+named score or predicted are replaced in score_toxicity() and left alone by score_column().
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import WORD, fold
+from pagewright.session import stored
 
 #: Fixed word lists: terms that may stand for each other in a sentence.
 IDENTITY_GROUPS = [
@@ -55,16 +60,25 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept; both classes weigh the same. swaps: what swapping changes in the features."""
+def counterfactual(ws: list[str], seed: int) -> tuple[list[str], list[str], bool]:
+    """A text's words in two halves of a pair that differ in identity terms only, and whether the terms were put in."""
+    if not SWAP.keys().isdisjoint(ws):
+        return ws, [SWAP.get(w, w) for w in ws], False
+    group = IDENTITY_GROUPS[seed % len(IDENTITY_GROUPS)]
+    i = seed // len(IDENTITY_GROUPS) % len(group)
+    j = (i + 1 + seed // 997 % (len(group) - 1)) % len(group)
+    return [*ws, group[i]], [*ws, group[j]], True
+
+
+def fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and intercept; both classes weigh the same. changes: the mean of d d' over all pairs, d being what the swap
+    changes in the features, so that w' changes w is the mean squared change of the score."""
     w, b = np.zeros(x.shape[1], "f4"), 0.0
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype("f4")
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
         g = weight * (sigmoid(x @ w + b) - y)
-        gw, gb = x.T @ g + RIDGE * w, g.sum()
-        if len(swaps):
-            gw = gw + 2 * penalty * swaps.T @ (swaps @ w) / len(swaps)
+        gw, gb = x.T @ g + RIDGE * w + 2 * penalty * (changes @ w), g.sum()
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         rate = 0.1 * math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         w, b = w - rate * mw / (np.sqrt(vw) + 1e-8), b - rate * mb / (math.sqrt(vb) + 1e-8)
@@ -90,8 +104,6 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, learn, sample: int
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, penalty: float = PENALTY) -> dict | None:
     """Feature weights, intercept, cut and scale, or nothing if a class is missing."""
-    from pagewright.session import stored
-
     rows = stored(labelled(docs, labels, "toxic", fold("doc_id", 3) != 1, sample), "toxic-sample")
 
     def counts(batches):
@@ -117,53 +129,56 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voc
     def vectors(batches):
         for pdf in batches:
             out = []
-            for text, y in zip(pdf.text, pdf.y, strict=True):
+            for d, text, y in zip(pdf.doc_id, pdf.text, pdf.y, strict=True):
                 ws = WORD.findall((text or "").lower())
-                a = features(ws, at)
-                b = features([SWAP.get(w, w) for w in ws], at) if not SWAP.keys().isdisjoint(ws) else None
-                out.append((int(y > 0), [at[f] for f in a], [math.log1p(v) for v in a.values()], None if b is None else [at[f] for f in b], None if b is None else [math.log1p(v) for v in b.values()]))
+                seed = zlib.crc32(str(d).encode())
+                one, two, put_in = counterfactual(ws, seed)
+                a, b = features(one, at), features(two, at)
+                # Learnt from as it is, or, every other time, with the term that was put in.
+                own = features(ws, at) if put_in and seed >> 16 & 1 else a
+                d = {f: math.log1p(b[f]) - math.log1p(a[f]) for f in a.keys() | b.keys() if a[f] != b[f]}
+                out.append((int(y > 0), [at[f] for f in own], [math.log1p(v) for v in own.values()], [at[f] for f in d], list(d.values())))
             yield pd.DataFrame(out, columns=["y", "i", "v", "si", "sv"])
 
     got = rows.mapInPandas(vectors, "y int, i array<int>, v array<double>, si array<int>, sv array<double>").toPandas()
-    got["key"] = [hash((tuple(i), tuple(v))) for i, v in zip(got.i, got.v, strict=True)]
+    got["key"] = [zlib.crc32(np.concatenate([i, v]).tobytes()) for i, v in zip(got.i, got.v, strict=True)]
     got = got.sort_values(["key", "y"], kind="stable").reset_index(drop=True)  # rows come in any order
-    x, swaps = np.zeros((len(got), len(names)), "f4"), []
+    x, changes = np.zeros((len(got), len(names)), "f4"), np.zeros((len(names), len(names)), "f4")
     for r, row in enumerate(got.itertuples()):
         x[r, row.i] = row.v
-        if row.si is not None:
-            d = -x[r]
-            d[row.si] += np.asarray(row.sv, "f4")
-            swaps.append(d)
-    y, swaps = got.y.to_numpy("f4"), np.array(swaps, "f4").reshape(-1, len(names))
+        changes[np.ix_(row.si, row.si)] += np.outer(row.sv, row.sv)
+    y, changes = got.y.to_numpy("f4"), changes / len(got)
     # The cut is set on rows that the model didn't see.
     part, z = np.arange(len(y)) % 3, np.zeros(len(y), "f4")
     for k in range(3):
-        w, b = fit(x[part != k], y[part != k], swaps, penalty)
+        w, b = fit(x[part != k], y[part != k], changes, penalty)
         z[part == k] = x[part == k] @ w + b
-    w, b = fit(x, y, swaps, penalty)
+    w, b = fit(x, y, changes, penalty)
     cut = best_cut(z, y)
     return {"weights": {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-4}, "intercept": b, "cut": cut}
 
 
-def score_toxicity(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with columns doc_id, score (0 to 1) and predicted (1 from 0.7 on)."""
-    lift = math.log(CUT / (1 - CUT))
-
-    def scored(text: pd.Series) -> pd.Series:
-        if model is None:
-            return pd.Series(0.5, index=text.index)
-        weights, out = model["weights"], []
-        # A word's whole effect depends on its features' counts; most words have none.
-        heads = {f[:-1] for f in weights if f.endswith("|")}
-        shortest = min(map(len, [*weights, "x" * 9]))
-        for t in text:
-            ws = [w for w in WORD.findall(t.lower()) if w in weights or (len(w) > 4 and (w[:4] in heads or w[:5] in heads or w[:6] in heads or w[:7] in heads))] if t and len(t) >= shortest else []
-            z = model["intercept"] + sum(weights[f] * math.log1p(n) for f, n in sorted(features(ws, weights).items()))
-            out.append(float(sigmoid(z - model["cut"] + lift)))
-        return pd.Series(out, index=text.index, dtype="f8")
-
-    score = F.pandas_udf(scored, "double")
-    return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+def scores(texts, model: dict | None) -> list[float]:
+    """The score of each whole text, 0.7 at the model's cut."""
+    if model is None:
+        return [0.5] * len(texts)
+    lift, weights, out = math.log(CUT / (1 - CUT)), model["weights"], []
+    # A word's whole effect depends on its features' counts; most words have none.
+    heads = {f[:-1] for f in weights if f.endswith("|")}
+    for t in texts:
+        ws = [w for w in WORD.findall(t.lower()) if w in weights or (len(w) > 4 and (w[:4] in heads or w[:5] in heads or w[:6] in heads or w[:7] in heads))] if t else []
+        z = model["intercept"] + sum(weights[f] * math.log1p(n) for f, n in sorted(features(ws, weights).items()))
+        out.append(float(sigmoid(z - model["cut"] + lift)))
+    return out
+
+
+def score_column(model: dict | None, text_col: str = "text") -> Column:
+    return F.pandas_udf(lambda text: pd.Series(scores(text, model), index=text.index, dtype="f8"), "double")(F.col(text_col))
+
+
+def score_toxicity(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
+    """docs with columns score (0 to 1) and predicted (1 from 0.7 on)."""
+    return docs.withColumn("score", score_column(model, text_col)).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
