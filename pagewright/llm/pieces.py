@@ -4,9 +4,10 @@ A sequence of pieces is the byte-pair encoding of a text exactly when each piece
 neighbours encode to themselves. So encoding is a best-path problem whose edges weigh 0 (the two pieces may stand
 side by side) or minus infinity, over nodes (piece, place). A giant text is cut into chunks at any character. The
 state at a cut is the piece that covers the character before it. Each chunk yields, on its own, the max-plus
-transfer matrix from the states at its left cut to those at its right cut; the matrices of a text are multiplied
-associatively; the product tells the one state at each cut that lies on the finite path, and each chunk is then
-traced back on its own between its two states. Short texts are one chunk.
+transfer matrix from the states at its left cut to those at its right cut. The matrices of a text are multiplied in a tree,
+FAN neighbours at a time and level by level, so that a text of any number of chunks spreads over tasks; back down the tree,
+the states at a product's two ends tell those at the cuts within it, and each chunk is then traced back on its own between
+its two states. Short texts are one chunk.
 
 Edge cases: null text counts as empty; empty text gives no ids; characters that no piece has become byte pieces;
 a literal U+2581 decodes to a space, as in the public library; repeated rows are each returned, other columns of the
@@ -30,6 +31,8 @@ BAR = "▁"
 NEVER = -np.inf
 #: Characters of a chunk, of the context that a chunk sees on either side, and words that a worker remembers.
 CHUNK, MEMORY = 32_768, 800_000
+#: Neighbouring matrices that are multiplied in one group.
+FAN = 8
 
 
 class Memo(dict):
@@ -209,18 +212,22 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(1) if a.shape[1] else np.full((len(a), b.shape[1]), NEVER)
 
 
-def path_states(matrices: list[np.ndarray]) -> list[int]:
-    """The index of the state at each inner cut that lies on the finite path."""
-    ahead = [matrices[0]]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = times(out, m)
+    return out
+
+
+def inner_states(matrices: list[np.ndarray], left: int, right: int) -> list[int]:
+    """The state at each cut between neighbouring matrices on a best path from state `left` before to `right` after them all."""
+    ahead = [matrices[0][left]]
     for m in matrices[1:-1]:
-        ahead.append(times(ahead[-1], m))
-    out, behind = [], None
+        ahead.append((ahead[-1][:, None] + m).max(0))
+    out: list[int] = []
     for k in range(len(matrices) - 1, 0, -1):
-        behind = matrices[k] if behind is None else times(matrices[k], behind)
-        best = ahead[k - 1][0] + behind[:, 0]
-        out.append(int(best.argmax()))
-        # From here on only paths through that state count.
-        behind = np.where(np.arange(len(behind))[:, None] == out[-1], behind, NEVER)
+        right = int((ahead[k - 1] + matrices[k][:, right]).argmax())
+        out.append(right)
     return out[::-1]
 
 
@@ -295,12 +302,19 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
             for x in pdf.itertuples():
                 m = p.transfer(x.s.replace(" ", BAR), x.lo, x.hi, x.chunk_no == 0, x.chunk_no == x.n - 1)
                 out.append((x.row, x.chunk_no, m.shape[0], m.shape[1], np.isfinite(m).astype("u1").tobytes()))
-            yield pd.DataFrame(out, columns=["row", "chunk_no", "n_in", "n_out", "finite"])
+            yield pd.DataFrame(out, columns=["row", "at", "n_in", "n_out", "finite"])
 
-    def joined(pdf):
-        pdf = pdf.sort_values("chunk_no")
-        states = path_states([np.where(np.frombuffer(x.finite, "u1").reshape(x.n_in, x.n_out) > 0, 0.0, NEVER) for x in pdf.itertuples()])
-        return pd.DataFrame({"row": pdf.row, "chunk_no": pdf.chunk_no, "left": [-1, *states], "right": [*states, -1]})
+    unpacked = lambda pdf: [np.where(np.frombuffer(x.finite, "u1").reshape(x.n_in, x.n_out) > 0, 0.0, NEVER) for x in pdf.itertuples()]
+
+    def combined(pdf):
+        pdf = pdf.sort_values("at")
+        m = product(unpacked(pdf))
+        return pd.DataFrame({"row": pdf.row[:1], "at": [pdf["at"].iloc[0] // FAN], "n_in": [m.shape[0]], "n_out": [m.shape[1]], "finite": [np.isfinite(m).astype("u1").tobytes()]})
+
+    def parted(pdf):
+        pdf = pdf.sort_values("at")
+        cuts = inner_states(unpacked(pdf), pdf.left.iloc[0], pdf.right.iloc[0])
+        return pd.DataFrame({"row": pdf.row, "at": pdf["at"], "left": [pdf.left.iloc[0], *cuts], "right": [*cuts, pdf.right.iloc[0]]})
 
     def traced(batches):
         p = loaded(model)
@@ -309,10 +323,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
             for x in pdf.itertuples():
                 s = x.s.replace(" ", BAR)
                 begin, before, end = x.lo, None, x.hi
-                if x.left >= 0:
+                if x.chunk_no:
                     a, b = p.states(s, x.lo)[x.left]
                     begin, before = x.lo + b, s[x.lo + a : x.lo + b]
-                if x.right >= 0:
+                if x.chunk_no < x.n - 1:
                     end = x.hi + p.states(s, x.hi)[x.right][1]
                 out.append(told(p, x.row, x.doc_id, x.chunk_no, p.trace(s, begin, end, before), x.chunk_no == 0))
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
@@ -331,8 +345,17 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
         (F.least(F.length("s"), (F.col("chunk_no") + 1) * chunk) - begin).cast("int").alias("hi"),
     )
     chunks = stored(chunks.repartition(F.col("row"), F.col("chunk_no")), "chunks")
-    matrices = chunks.select("row", "chunk_no", "n", "s", "lo", "hi").mapInPandas(transfers, "row string, chunk_no int, n_in int, n_out int, finite binary")
-    states = matrices.groupBy("row").applyInPandas(joined, "row string, chunk_no int, left int, right int")
+    kind = "row string, at int, n_in int, n_out int, finite binary"
+    levels = [stored(chunks.select("row", "chunk_no", "n", "s", "lo", "hi").mapInPandas(transfers, kind), "matrices")]
+    most = chunks.agg(F.max("n")).first()[0] or 1
+    while (most := -(-most // FAN)) > 1:
+        levels.append(stored(levels[-1].groupBy("row", F.floor(F.col("at") / FAN).alias("g")).applyInPandas(combined, kind), "matrices"))
+    # Of the whole text, one state is before it and one after it.
+    states = levels[-1].groupBy("row").agg(F.lit(0).alias("up"), F.lit(0).alias("left"), F.lit(0).alias("right"))
+    for level in levels[::-1]:
+        below = level.withColumn("up", F.floor(F.col("at") / FAN).cast("int")).join(states, ["row", "up"])
+        states = below.groupBy("row", "up").applyInPandas(parted, "row string, at int, left int, right int").withColumnRenamed("at", "up")
+    states = states.withColumnRenamed("up", "chunk_no")
     long_ones = chunks.join(states, ["row", "chunk_no"]).mapInPandas(traced, schema)
     copies = chunks.where("chunk_no = 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     long_ones = long_ones.join(copies, "row").withColumn("row", F.concat_ws("/", "row", "copy")).drop("copy")
