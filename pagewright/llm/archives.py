@@ -60,7 +60,9 @@ class ArchiveFile:
         self.out.write(data)
         self.at += len(data)
 
-    def close(self) -> Written:
+    def close(self, tail: bytes = b"") -> Written:
+        """tail: what ends an archive of its kind; no member."""
+        self.write(tail)
         self.out.close()
         with self.fs.open_output_stream(f"{self.base}/{self.name}.offsets") as f:
             f.write(np.array(self.offsets, "<i8").tobytes())
@@ -91,6 +93,34 @@ def members(folder: str, part: Range) -> list[tuple[int, int]]:
     return list(zip(offsets[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True))
 
 
+class Member:
+    """Members of one archive, read one after the other through one open file; after a failure the file is opened anew."""
+
+    def __init__(self, fs, place: str):
+        self.fs, self.place, self.file = fs, place, None
+
+    def read(self, offset: int, end: int) -> bytes:
+        def once():
+            try:
+                if self.file is None:
+                    self.file = self.fs.open_input_file(self.place)
+                self.file.seek(offset)
+                data = self.file.read(end - offset)
+                if len(data) != end - offset:
+                    raise OSError(f"{self.place} ends early")
+                return data
+            except OSError:
+                self.close()
+                raise
+
+        return retried(once)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.file = None
+
+
 def retried(read, tries: int = TRIES):
     """read(), again after an I/O failure; each member on its own."""
     for k in range(tries):
