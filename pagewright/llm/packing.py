@@ -5,7 +5,7 @@ Only the number of pieces of each length decides how to pack, so the plan is mad
 greedily, from the longest down, each with the longest one that still fits beside it, so at most two share a
 sequence. Shorter ones then go, from the longest down, to the smallest gap that takes them; what is left opens new
 sequences. Pieces find their place by their rank among the pieces of their length; ranks are counted within hash
-buckets first, so that a length which many pieces share is never in one task.
+buckets first, as many as the commonest length asks for, so that a length which many pieces share is never in one task.
 
 Edge cases: null text counts as empty; every document ends with the id that closes it, so an empty one is one token
 long; documents longer than the capacity are cut into full pieces and a rest; rows that repeat, or share an id, are
@@ -28,8 +28,8 @@ from pyspark.sql import Window as W
 from pagewright.session import stored
 
 CAPACITY, CLOSE = 4096, 1
-#: Hash buckets in which ranks are counted; words that a worker remembers; entries of a plan that may go to every task.
-BUCKETS, MEMORY, MOST_STEPS = 256, 700_000, 4_000_000
+#: Pieces of a length in a hash bucket, about, within which ranks are counted; words that a worker remembers; entries of a plan that may go to every task.
+BUCKET, MEMORY, MOST_STEPS = 20_000, 700_000, 4_000_000
 
 
 def default_tokenizer() -> str:
@@ -192,17 +192,19 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return sorted(steps)
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """pieces (with doc_id, piece, start, length, ids_crc32) and their sequence_id and offset."""
+def packed(pieces: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> DataFrame:
+    """pieces (with doc_id, piece, start, length, ids_crc32 and, if there are, ids) and their sequence_id and offset."""
     keys = ["doc_id", "piece", "ids_crc32", "start"]
+    # One row for each length at most: bounded by the capacity.
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    steps = plan(histogram, capacity)
+    if len(steps) > MOST_STEPS:
+        raise ValueError(f"the plan has {len(steps)} steps; choose a smaller capacity")
+    buckets = max(1, -(-max(histogram.values(), default=1) // bucket))
     rows = pieces.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("length", "bucket", before.alias("before"))
-    # One row for each length at most: bounded by the capacity.
-    steps = plan({r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}, capacity)
-    if len(steps) > MOST_STEPS:
-        raise ValueError(f"the plan has {len(steps)} steps; choose a smaller capacity")
     length, first, _, each, seq, offset = np.array(steps, "i8").reshape(-1, 6).T
     key = (length << 44) | first
 
@@ -210,21 +212,21 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS)
     rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy(*keys)) - 1
     ranked = rows.withColumn("r", rank).join(starts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("r"))
 
-    def place(batches):
-        for pdf in batches:
-            n, r = pdf.length.to_numpy("i8"), pdf["rank"].to_numpy("i8")
-            at = np.searchsorted(key, (n << 44) | r, "right") - 1
-            q = r - first[at]
-            pdf["doc_id"] = pdf.doc_id.astype("Int64")
-            pdf["sequence_id"], pdf["offset"] = seq[at] + q // each[at], offset[at] + q % each[at] * n
-            yield pdf.drop(columns="rank")
+    # Only these two columns go to Python; ids stay where they are.
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(n: pd.Series, r: pd.Series) -> pd.DataFrame:
+        n, r = n.to_numpy("i8"), r.to_numpy("i8")
+        at = np.searchsorted(key, (n << 44) | r, "right") - 1
+        q = r - first[at]
+        return pd.DataFrame({"sequence_id": seq[at] + q // each[at], "offset": offset[at] + q % each[at] * n})
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*names, "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *[c for c in pieces.columns if c == "ids"]]
+    return ranked.select(*names, place("length", "rank").alias("at")).select(*names, "at.*")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return packed(stored(tokenised(docs, tokenizer, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+    """The pieces of docs and their places; with ids, what is trained on: each piece's token ids."""
+    return packed(stored(tokenised(docs, tokenizer, capacity, ids=ids), "pieces"), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
