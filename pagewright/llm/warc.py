@@ -1,7 +1,7 @@
 """WARC archives and their chunked record table.
 
 The data source `warc_archive` writes rows as gzipped WARC/1.1 records and reads the archives back as rows of
-(record, chunk number): payloads of any size are streamed piece by piece, each row carrying the digest and size of
+(record, chunk number), a key of the table: a record's id names its page, its archive and its place there. Payloads of any size are streamed piece by piece, each row carrying the digest and size of
 the payload so far, so no record is ever held whole; the row of the last chunk has the digest of it all.
 
 Records with equal payloads of a given size at least are deduplicated: the one with the smallest id is the response,
@@ -51,18 +51,22 @@ class WarcArchive(DataSource):
         return WarcWriter(self.options)
 
 
-def header(page_id, url, kind: str, refers_to, size: int, digest: str, stored_size: int) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: text/html; charset=utf-8"]
+def header(page_id, place: str, url, kind: str, refers_to, refers_to_url, size: int, digest: str, stored_size: int) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{place}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: text/html; charset=utf-8"]
+    uri = lambda x: quote(x, safe="!#$%&()*+,/:;=?@[]~")
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe='!#$%&()*+,/:;=?@[]~')}")
+        lines.append(f"WARC-Target-URI: {uri(url)}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        # The response's own record id is known only to the task that writes it; its page and address are told instead.
+        lines += [f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        if refers_to_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {uri(refers_to_url)}")
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", f"Content-Length: {stored_size}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Rows are (page_id, url, payload, refers_to)."""
+    """Rows are (page_id, url, payload, refers_to, refers_to_url)."""
 
     def __init__(self, options):
         self.path = options["path"]
@@ -70,12 +74,13 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator):
         archive = archives.ArchiveFile(self.path, ".warc.gz")
         for b in iterator:
-            for page_id, url, payload, refers_to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+            for page_id, url, payload, refers_to, refers_to_url in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 view = memoryview(payload.as_buffer() if payload.is_valid else b"")
                 body = view if refers_to is None else view[:0]
                 gz = zlib.compressobj(LEVEL, wbits=31)
                 archive.begin()
-                archive.write(gz.compress(header(page_id, url, "response" if refers_to is None else "revisit", refers_to, len(view), hashlib.sha256(view).hexdigest(), len(body))))
+                place = f"{archive.name.partition('.')[0]}:{archive.at}"
+                archive.write(gz.compress(header(page_id, place, url, "response" if refers_to is None else "revisit", refers_to, refers_to_url, len(view), hashlib.sha256(view).hexdigest(), len(body))))
                 for lo in range(0, len(body), CHUNK):
                     archive.write(gz.compress(body[lo : lo + CHUNK]))
                 archive.write(gz.compress(b"\r\n\r\n") + gz.flush())
@@ -153,8 +158,7 @@ class Stream:
             self.file.close()
 
 
-def _page(urn: str | None):
-    text = urn[len("<urn:page:") : -1] if urn else ""
+def _number(text: str | None):
     return int(text) if text else None
 
 
@@ -185,7 +189,7 @@ class WarcReader(DataSourceReader):
         head = stream.head()
         kind, size = head["WARC-Type"], int(head["Content-Length"])
         told = head["WARC-Payload-Digest"].removeprefix("sha256:")
-        front = (head["WARC-Record-ID"], _page(head["WARC-Record-ID"]), kind, _page(head.get("WARC-Refers-To")), head.get("WARC-Target-URI"))
+        front = (head["WARC-Record-ID"], _number(head["WARC-Record-ID"].split(":")[2]), kind, _number(head.get("X-Refers-To-Page")), head.get("WARC-Target-URI"))
         if kind == "revisit":  # holds no payload; the header tells of it
             yield (*front, 0, b"" if self.payload else None, int(head["X-Payload-Length"]), told, True)
         else:
@@ -206,14 +210,16 @@ def batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), COLUMNS, strict=True)], [n for n, _ in COLUMNS])
 
 
-def with_revisits(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """page_id, url, payload, refers_to (null for responses)."""
+def with_revisits(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
+    """page_id, url, payload, refers_to and refers_to_url (null for responses). Pages needn't have addresses."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     usable = (F.octet_length(payload) >= least) & F.col(id_col).isNotNull()
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", payload.alias("payload"), F.when(usable, F.sha2(payload, 256)).alias("digest"))
-    same = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    joined = hot_left_join(rows, same, "digest", "n", "page_id", ["first_id"])
-    return joined.select("page_id", "url", "payload", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    url = F.col(url_col) if url_col in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"), F.when(usable, F.sha2(payload, 256)).alias("digest"))
+    same = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    joined = hot_left_join(rows, same, "digest", "n", "page_id", ["first"])
+    again = F.col("first.page_id") != F.col("page_id")
+    return joined.select("page_id", "url", "payload", F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_to_url"))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
