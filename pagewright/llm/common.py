@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,14 @@ def hot_left_join(rows: DataFrame, groups: DataFrame, key: str, count: str, spre
     return joined.select(*keep, *[F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in carry])
 
 
-def small_batches(spark, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows from here on: rows that carry whole texts or sets are large."""
+@contextmanager
+def small_batches(spark, rows: int = 1000):
+    """Within it, Arrow batches have at most so many rows: rows that carry whole texts or sets are large."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

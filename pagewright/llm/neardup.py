@@ -3,42 +3,39 @@
 Texts with the same set of word n-grams are one node, whatever their number. Each node's MinHash signature is cut
 into bands, whose number and rows are chosen for a target recall; nodes meet by a shuffle on the bands' hashes. Within
 a bucket every node is tested against the bucket's smallest node (its hub), on the full sets; small buckets test all
-their nodes against each other. Nodes of a larger bucket that haven't come into their hub's class are
-then tested against HUBS nodes of that class and, as a new bucket, against each other or, if they are many, against
-HUBS of themselves; this is done up to ROUNDS times. What is then still apart from its hub's class is tested exactly,
-against all nodes of its bucket that are in another class: in blocks of BLOCK nodes a side, within which the sets'
-common n-grams are counted without a row for any pair, so only links come out. So no two nodes that meet in a bucket
-and are linked end in different classes. Classes are the connected components of the links found, by repeated
-contraction onto the smallest neighbour (nodes are named by hashes, so a constant share goes each time). Links are
-counted last: all pairs of a class are tested in blocks, whatever buckets they met in.
+their nodes against each other. Nodes of a larger bucket that haven't come into their hub's class that way are tested
+exactly, against all nodes of their bucket that are in another class: in blocks of about BLOCK n-grams a side, within
+which the sets' common n-grams are counted without a row for any pair, so only links come out. So no two nodes that
+meet in a bucket and are linked end in different classes. Classes are the connected components of the links found, by
+repeated contraction onto the smallest neighbour (nodes are named by hashes, so a constant share goes each time). Links
+are counted last: all pairs of a class are tested in blocks, whatever buckets they met in.
 
 Edge cases: rows with a null id take no part (class and links null); null texts and texts without a word are a class
 each; texts of fewer than n words are linked only to equal ones; rows that repeat are each returned; rows that share an
-id with different texts are told apart; an empty table gives no rows; other columns of the input are ignored.
+id with different texts are told apart (their classes may show the same id); an empty table gives no rows; other columns
+of the input are ignored by classes() and kept by one_of_each(), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pagewright.llm.common import WORD, hot_left_join, small_batches
-from pagewright.session import stored
+from pagewright.session import Scratch, stored
 
 N, SIMILAR, RECALL, HASHES = 5, 0.8, 0.9995, 128
-#: Buckets up to this size test all their pairs, as do what is left of larger ones up to the second size; hubs and further rounds of larger buckets; pairs that share a copy of their hub's set; words that a worker remembers.
-SMALL, REST, HUBS, ROUNDS, SHARE, MEMORY = 8, 64, 8, 3, 128, 200_000
-#: Nodes of a block, about, on each side of the exact test.
-BLOCK = 256
-#: Bits of the filter that goes before the join with the texts.
-BITS = 1 << 23
+#: Buckets up to this size test all their pairs; pairs that share a copy of their hub's set; words that a worker remembers.
+SMALL, SHARE, MEMORY = 8, 128, 200_000
+#: n-grams of a block, about, on each side of the exact test.
+BLOCK = 1 << 18
+#: Least and largest number of bits, and bits for each id, of the filter that goes before the join with the texts.
+BITS = 1 << 16, 1 << 28, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,27 +103,30 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int, similar: float) ->
 
     def run(batches):
         for pdf in batches:
-            nodes, keys = [], []
+            nodes, keys, sizes = [], [], []
             for t in pdf.text:
                 g = gram_set(t, n)
                 nodes.append(node_of(g))
+                sizes.append(len(g))
                 keys.append(signature(g, bands, rows) if len(g) >= least else None)
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "node": nodes, "bands": keys})
+            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "fp": pdf.fp, "node": nodes, "n_grams": sizes, "bands": keys})
 
-    return docs.mapInPandas(run, "doc_id long, node binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInPandas(run, "doc_id long, fp long, node binary, n_grams long, bands array<long>")
 
 
-def filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose id may be among ids: by a bitmap of fixed size, which alone is broadcast."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+def filtered(docs: DataFrame, ids: DataFrame, many: int) -> DataFrame:
+    """docs whose id may be among ids, `many` of them: by a bitmap, which alone is broadcast; its largest size is fixed."""
+    least, most, each = BITS
+    width = min(most, max(least, 1 << (each * max(many, 1)).bit_length()))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(width))
     bits = ids.select(h.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
     met = docs.withColumn("h", h).join(F.broadcast(bits), F.floor(F.col("h") / 64) == F.col("w"))
     return met.where(F.expr("(shiftright(bits, cast(h % 64 as int)) & 1L) = 1L")).select("doc_id", "text")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node and its set, for the wanted nodes, each read from its first document."""
-    texts = filtered(docs, wanted.select("doc_id")).join(wanted, "doc_id").select("node", "text")
+    """node and its set, for the wanted nodes (a stored table), each read from its first document."""
+    texts = filtered(docs, wanted.select("doc_id"), wanted.count()).join(wanted, "doc_id").select("node", "text")
 
     def run(batches):
         for pdf in batches:
@@ -136,57 +136,50 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return texts.mapInPandas(run, "node binary, grams binary").dropDuplicates(["node"])
 
 
-def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, similar for pairs (a, b, cnt). The set of a hub with many pairs is dealt out in copies."""
-    # Stored, as they are read twice: for the hubs' sets and for the others'.
-    pairs = stored(pairs, "pairs").withColumn("copies", F.ceil(F.col("cnt") / SHARE)).withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies"))).drop("cnt")
+def links_of(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """a, b of the stored pairs (a, b, cnt) that are similar enough. The set of a hub with many pairs is dealt out in copies."""
+    pairs = pairs.withColumn("copies", F.ceil(F.col("cnt") / SHARE)).withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies"))).drop("cnt")
     hubs = pairs.groupBy("a", "copies", "copy").agg(F.count("*").alias("_n")).drop("_n").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").join(hubs, ["a", "copies", "copy"]).select("a", "b", "x", "y")
 
     def run(batches):
         for pdf in batches:
-            out = []
+            keep = []
             for x, y in zip(pdf.x, pdf.y, strict=True):
                 x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= 0.5 * max(len(x), len(y)) else 0
-                out.append(common / (len(x) + len(y) - common))
-            yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "similar": out})
+                # No set can share more than the smaller one has.
+                possible = min(len(x), len(y)) >= similar * max(len(x), len(y))
+                common = len(np.intersect1d(x, y, assume_unique=True)) if possible else 0
+                keep.append(possible and common / (len(x) + len(y) - common) >= similar)
+            yield pdf.loc[keep, ["a", "b"]]
 
-    return both.mapInPandas(run, "a binary, b binary, similar double")
+    return both.mapInPandas(run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and label (the same for a whole component) of every node in links (a, b)."""
-    edges, labels = stored(links.select("a", "b"), "edges"), None
+    edges, labels = scratch.stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges"), None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = stored(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.least("a", "least").alias("parent"), "n"), "parents")
+        parents = scratch.stored(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.least("a", "least").alias("parent"), "n"), "parents")
         step = lambda rows, key, n="n": hot_left_join(rows, parents.select(F.col("node").alias(key), "n", "parent"), key, "n", key, ["parent"])  # noqa: E731, B023
         if labels is None:
             labels = parents.select("node", F.col("parent").alias("label"))
         else:
-            labels = stored(step(labels, "label").select("node", F.coalesce("parent", "label").alias("label")), "labels")
+            labels = scratch.stored(step(labels, "label").select("node", F.coalesce("parent", "label").alias("label")), "labels")
         left = step(edges, "a").select(F.col("parent").alias("pa"), "b")
         moved = step(left, "b").select(F.least("pa", "parent").alias("a"), F.greatest("pa", "parent").alias("b")).where("a <> b")
-        edges = stored(moved.distinct(), "edges")
+        edges = scratch.stored(moved.distinct(), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
 
 
-def all_pairs(members: DataFrame, most: int) -> DataFrame:
-    """(a, b, cnt) of all pairs in buckets of at most `most` nodes."""
+def first_pairs(members: DataFrame, most: int) -> DataFrame:
+    """(a, b, cnt), each once: all pairs in buckets of at most `most` nodes, hub and node in larger ones."""
     lists = members.where((F.col("cnt") > 2) & (F.col("cnt") <= most)).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("s"))
     pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b", F.lit(1).cast("long").alias("cnt"))
-
-
-def under_hubs(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(a, b, cnt): members (key, node) against the hubs of their bucket, HUBS nodes of `hubs` (key, node), one for each remainder of their hash."""
-    few = hubs.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("r")).agg(F.min("node").alias("hub"), F.count("*").alias("n"))
-    few = stored(few.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.sum("n").alias("n")), "hubs")
-    met = hot_left_join(members.select("key", "node"), few, "key", "n", "node", ["hubs", "n"]).where("hubs IS NOT NULL")
-    # A node's buckets (one a band) mostly share their hubs: they are put together before rows are made of them.
-    met = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"), F.max("n").alias("n"))
-    return met.select(F.explode("hubs").alias("hub"), "node", "n").where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), F.col("n").alias("cnt"))
+    small = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b", F.lit(1).cast("long").alias("cnt"))
+    under_hub = members.where("node <> hub AND (cnt = 2 OR cnt > %d)" % most).select(F.col("hub").alias("a"), F.col("node").alias("b"), "cnt")
+    return small.union(under_hub).groupBy("a", "b").agg(F.max("cnt").alias("cnt"))
 
 
 def with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,50 +199,60 @@ def common_counts(x: np.ndarray, values: np.ndarray, owners: np.ndarray, many: i
     return np.bincount(owners[at], minlength=many)
 
 
+class Block:
+    """Sets of n-grams side by side, to be met by one set at a time."""
+
+    def __init__(self, grams: list[bytes]):
+        sets = [np.frombuffer(g, "u8") for g in grams]
+        self.sizes, values = np.array([len(g) for g in sets]), np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners = values[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def similarities(self, grams: bytes) -> np.ndarray:
+        g = np.frombuffer(grams, "u8")
+        common = common_counts(g, self.values, self.owners, len(self.sizes))
+        return common / (len(g) + self.sizes - common)
+
+
 def completed(marked: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """a, b, similar: every link between a node that is apart from its hub's class and a node of its bucket in another class.
+    """a, b: labels of classes that a link joins, between a node that is apart from its hub's class and a node of its bucket
+    in another class.
 
-    marked: key, node, node_label, hub_label. Both sides are dealt out into blocks by hash, and each pair of blocks is a
-    group of its own, so that no bucket goes to one task and memory is bounded by a block's sets.
+    marked: key, node, node_label, hub_label, n_grams. Both sides are dealt out into blocks by hash, and each pair of blocks
+    is a group of its own, so that no bucket goes to one task and memory is bounded by a block's sets.
     """
     apart = F.col("node_label") != F.col("hub_label")
-    counts = marked.groupBy("key").agg(F.count("*").alias("all"), F.count_if(apart).alias("apart")).where("apart > 0")
-    met = hot_left_join(marked, counts, "key", "all", "node", ["all", "apart"]).where("apart IS NOT NULL")
-    met = met.select("key", "node", F.col("node_label").alias("label"), apart.alias("is_apart"), F.ceil(F.col("all") / BLOCK).alias("columns"), F.ceil(F.col("apart") / BLOCK).alias("rows"))
-    met = met.join(sets, "node")
+    blocks = lambda grams: F.greatest(F.ceil(grams / BLOCK), F.lit(1).cast("long"))
+    counts = marked.groupBy("key").agg(F.count("*").alias("all"), blocks(F.sum("n_grams")).alias("columns"), blocks(F.sum(F.when(apart, F.col("n_grams")))).alias("rows"), F.count_if(apart).alias("apart")).where("apart > 0")
+    met = hot_left_join(marked, counts, "key", "all", "node", ["columns", "rows", "apart"]).where("apart IS NOT NULL")
+    met = met.select("key", "node", F.col("node_label").alias("label"), apart.alias("is_apart"), "columns", "rows").join(sets, "node")
     here = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks))
-    left = met.where("is_apart").withColumn("i", here("rows")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)))
-    right = met.withColumn("j", here("columns")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    left = met.where("is_apart").withColumn("i", here("rows")).withColumn("j", every("columns"))
+    right = met.withColumn("j", here("columns")).withColumn("i", every("rows"))
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select("key", "i", "j", "side", "node", "label", "grams")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out = []
+        x, y, out = pdf[pdf.side == 0], pdf[pdf.side == 1], set()
         if len(x) and len(y):
-            theirs = [np.frombuffer(g, "u8") for g in y.grams]
-            sizes, values = np.array([len(g) for g in theirs]), np.concatenate(theirs)
-            order = np.argsort(values, kind="stable")
-            values, owners = values[order], np.repeat(np.arange(len(theirs)), sizes)[order]
-            names, labels = y.node.to_numpy(), y.label.to_numpy()
-            for node, label, g in zip(x.node, x.label, x.grams, strict=True):
-                g = np.frombuffer(g, "u8")
-                common = common_counts(g, values, owners, len(theirs))
-                alike = common / (len(g) + sizes - common)
-                out += [(min(node, names[k]), max(node, names[k]), alike[k]) for k in np.flatnonzero(alike >= similar) if labels[k] != label]
-        return pd.DataFrame(out, columns=["a", "b", "similar"])
+            block, labels = Block(list(y.grams)), y.label.to_numpy()
+            for label, g in zip(x.label, x.grams, strict=True):
+                out |= {(min(label, o), max(label, o)) for o in labels[block.similarities(g) >= similar] if o != label}
+        return pd.DataFrame(sorted(out), columns=["a", "b"])
 
-    return both.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary, similar double").dropDuplicates(["a", "b"])
+    return both.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
 
 
 def degrees(labels: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """node and n_links: how many texts of its class each node is linked to, each pair of a class tested on the full sets.
 
-    The nodes of a class are dealt out into blocks by hash, and each pair of blocks is a group of its own, which gives one
-    count a node and no row for a link; so no class goes to one task. The work grows with the square of a class's texts.
+    labels: node, label, n_grams. The nodes of a class are dealt out into blocks by hash, and each pair of blocks is a group
+    of its own, which gives one count a node and no row for a link; so no class goes to one task. The work grows with the
+    square of a class's texts.
     """
-    sized = hot_left_join(labels, labels.groupBy("label").agg(F.count("*").alias("n")), "label", "n", "node", ["n"])
-    blocks = F.ceil(F.col("n") / BLOCK)
-    met = sized.where("n > 2").join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    sized = hot_left_join(labels, labels.groupBy("label").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.sum("n_grams") / BLOCK), F.lit(1).cast("long")).alias("blocks")), "label", "n", "node", ["n", "blocks"])
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    met = sized.where("n > 2").join(sets, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "grams")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -257,14 +260,9 @@ def degrees(labels: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
         x, y = pdf[pdf.own == i], pdf[pdf.own == j]
         ours, theirs = np.zeros(len(x), "i8"), np.zeros(len(y), "i8")
         if len(x) and len(y):
-            grams = [np.frombuffer(g, "u8") for g in y.grams]
-            sizes, values = np.array([len(g) for g in grams]), np.concatenate(grams)
-            order = np.argsort(values, kind="stable")
-            values, owners = values[order], np.repeat(np.arange(len(grams)), sizes)[order]
+            block = Block(list(y.grams))
             for k, g in enumerate(x.grams):
-                g = np.frombuffer(g, "u8")
-                common = common_counts(g, values, owners, len(grams))
-                alike = common / (len(g) + sizes - common) >= similar
+                alike = block.similarities(g) >= similar
                 if i == j:
                     alike[k] = False
                 ours[k] = alike.sum()
@@ -277,64 +275,64 @@ def degrees(labels: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return many.unionByName(sized.where("n = 2").select("node", F.lit(1).cast("long").alias("n_links")))
 
 
+def classified(docs: DataFrame, n: int, similar: float, recall: float, hashes: int) -> DataFrame:
+    """doc_id, fp (a hash of the text), label (null for texts without a word), class_id, n_links, n_copies of docs (doc_id, text)."""
+    bands, rows = banding(similar, recall, hashes)
+    with small_batches(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
+        told = scratch.stored(sketches(docs, n, bands, rows, similar), "sketches", keep=True)
+        nodes = told.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("n_grams").alias("n_grams"), F.any_value("bands").alias("bands"))
+        nodes = scratch.stored(nodes, "nodes")
+        at = nodes.select("node", "n_grams", F.explode("bands").alias("key"))
+        buckets = at.groupBy("key").agg(F.count("*").alias("cnt"), F.min("node").alias("hub")).where("cnt > 1")
+        members = scratch.stored(hot_left_join(at, scratch.stored(buckets, "buckets"), "key", "cnt", "node", ["hub", "cnt"]).where("hub IS NOT NULL"), "members")
+        wanted = scratch.stored(nodes.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+        sets = scratch.stored(full_sets(docs, wanted, n), "sets")
+        pairs = scratch.stored(first_pairs(members, SMALL), "pairs")
+        labels = components(links_of(pairs, sets, similar), scratch)
+        larger = members.where(F.col("cnt") > SMALL)
+        if not larger.isEmpty():
+            joined = components(completed(scratch.stored(with_labels(larger, labels), "marked"), sets, similar), scratch).select(F.col("node").alias("old"), F.col("label").alias("new"))
+            # A class that is joined to others takes their label; so does a node that was alone, whose label is its own name.
+            size = joined.join(labels.groupBy(F.col("label").alias("old")).agg(F.count("*").alias("n")), "old", "left").select(F.col("old").alias("label"), "new", F.coalesce("n", F.lit(1)).cast("long").alias("n"))
+            moved = hot_left_join(labels, scratch.stored(size, "joined"), "label", "n", "node", ["new"]).select("node", F.coalesce("new", "label").alias("label"))
+            lone = joined.join(labels.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+            labels = scratch.stored(moved.unionByName(lone), "labels")
+        labels = scratch.stored(labels.join(nodes.select("node", "doc_id", "n_grams"), "node"), "labelled")
+        linked = scratch.stored(labels.join(degrees(labels.select("node", "label", "n_grams"), sets, similar), "node").select("node", "doc_id", "label", "n_links"), "linked")
+        first = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
+        linked = hot_left_join(linked, first, "label", "size", "node", ["class_id"]).select("node", "label", "class_id", "n_links")
+        whole = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
+        whole = scratch.stored(whole, "classes", keep=True)
+    out = hot_left_join(told.select("doc_id", "fp", "node"), whole, "node", "n_copies", "doc_id", ["label", "class_id", "n_links", "n_copies"])
+    known, alone = F.col("doc_id").isNotNull(), F.col("doc_id").isNotNull() & F.col("node").isNull()
+    only = lambda c, own: F.when(alone, own).when(known, F.col(c)).cast("long").alias(c)
+    return out.select("doc_id", "fp", F.when(known, F.col("label")).alias("label"), only("class_id", F.col("doc_id")), only("n_links", F.lit(0)), only("n_copies", F.lit(1)))
+
+
 def classes(docs: DataFrame, n: int = N, similar: float = SIMILAR, recall: float = RECALL, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest id of the class), n_links (other texts of the class that its text is linked to), n_copies."""
-    bands, rows = banding(similar, recall, hashes)
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = stored(sketches(docs, n, bands, rows, similar), "sketches")
-    nodes = told.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
-    nodes = stored(nodes, "nodes")
-    at = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = stored(at.groupBy("key").agg(F.count("*").alias("cnt"), F.min("node").alias("hub")).where("cnt > 1"), "buckets")
-    members = stored(hot_left_join(at, buckets, "key", "cnt", "node", ["hub", "cnt"]).where("hub IS NOT NULL"), "members")
-    sets = stored(full_sets(docs, nodes.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi"), n), "sets")
-
-    under_hub = lambda m: m.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "cnt")
-    once = lambda p: p.groupBy("a", "b").agg(F.max("cnt").alias("cnt"))
-    results = [stored(tested(once(under_hub(members).union(all_pairs(members, SMALL))), sets), "tested")]
-    active = members.where(F.col("cnt") > SMALL)
-    for k in range(ROUNDS + 1):
-        every = reduce(DataFrame.union, results)
-        links = every.where(F.col("similar") >= similar)
-        labels = components(links)
-        if k == ROUNDS or active.isEmpty():
-            break
-        # Nodes of larger buckets that are in another class than their hub.
-        marked = stored(with_labels(active, labels), "marked")
-        apart = marked.where("node_label <> hub_label")
-        if apart.isEmpty():
-            break
-        again = apart.groupBy("key").agg(F.count("*").alias("cnt"), F.min("node").alias("hub"))
-        rest = stored(hot_left_join(apart.select("key", "node"), again, "key", "cnt", "node", ["hub", "cnt"]), "rest")
-        own = marked.join(again.select("key"), "key", "left_semi").where("node_label = hub_label")
-        large = rest.where(F.col("cnt") > REST)
-        pairs = under_hub(rest.where(F.col("cnt") <= REST)).union(all_pairs(rest, REST)).union(under_hubs(rest, own)).union(under_hubs(large, large))
-        new = once(pairs).join(every.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        results.append(stored(tested(new, sets), "tested"))
-        active = large
-
-    larger = members.where(F.col("cnt") > SMALL)
-    if not larger.isEmpty():
-        found = stored(completed(stored(with_labels(larger, labels), "marked"), sets, similar), "completed")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-    linked = stored(labels.join(degrees(labels, sets, similar), "node").join(nodes.select("node", "doc_id"), "node"), "linked")
-    first = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
-    linked = hot_left_join(linked, first, "label", "size", "node", ["class_id"]).select("node", "class_id", "n_links")
-    whole = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
-    out = hot_left_join(told.select("doc_id", "node"), stored(whole, "classes"), "node", "n_copies", "doc_id", ["class_id", "n_links", "n_copies"])
-    alone = F.col("doc_id").isNotNull() & F.col("node").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(alone, 0).when(F.col("doc_id").isNotNull(), F.col("n_links")).cast("long").alias("n_links"), F.when(alone, 1).when(F.col("doc_id").isNotNull(), F.col("n_copies")).cast("long").alias("n_copies"))
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with the first document of each class only; rows with a null id stay."""
-    found = classes(docs, **options)
-    keep = found.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("_k", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))).where("_k = 1").drop("_k")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return classified(few, n, similar, recall, hashes).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def one_of_each(docs: DataFrame, n: int = N, similar: float = SIMILAR, recall: float = RECALL, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class: that with the smallest id (of rows with the same id: by hash of the text, of equal
+    rows any one, of rows that differ elsewhere the smallest as JSON). Rows with a null id and texts without a word stay."""
+    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = stored(classified(few, n, similar, recall, hashes), "classified")
+    chosen = found.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*")
+    many = found.join(chosen, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    bare = found.where("label IS NULL").select("doc_id", "fp", F.lit(1).cast("long").alias("n")).where("doc_id IS NOT NULL").distinct()
+    tag = "_kept"
+    while any(c.startswith(tag) for c in docs.columns):
+        tag += "_"
+    keep = many.unionByName(bare).select(F.col("doc_id").alias(f"{tag}_id"), F.col("fp").alias(f"{tag}_fp"), F.col("n").alias(f"{tag}_n"))
+    met = docs.join(keep, (F.col(id_col).cast("long") == F.col(f"{tag}_id")) & (F.xxhash64(text_col) == F.col(f"{tag}_fp")))
+    again = met.where(F.col(f"{tag}_n") > 1)
+    row = F.struct(*docs.columns)
+    # Rows that repeat are brought down to one by partial sums, so that a row of any number of copies is no single task's.
+    single = again.groupBy(f"{tag}_id", f"{tag}_fp").agg(F.min_by(row, F.to_json(row)).alias(tag)).select(f"{tag}.*")
+    return met.where(F.col(f"{tag}_n") == 1).select(*docs.columns).unionByName(single).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
