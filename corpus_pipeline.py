@@ -1,4 +1,13 @@
-"""The corpus pipeline: toxicity, quality, near duplicates, packing. Each stage: (spark, docs, sf_dir) -> DataFrame."""
+"""The corpus pipeline: toxicity, quality, near duplicates, packing. Each stage: (spark, docs, sf_dir) -> DataFrame.
+
+All stages but the last return rows of their input as they came, with all its columns, whatever their names. Labels are read
+from sf_dir; of labelled documents only those that a stage still has teach it.
+
+Edge cases: an empty table gives no rows; without labels of both classes nothing is told apart and every document stays.
+Null and empty texts are scored as texts without a feature, are never near copies of each other, and are packed as the one
+id that ends a document. Rows that repeat are scored alike, and one of them stays. Rows with a null id are scored, are
+nobody's copies and are packed.
+"""
 
 from __future__ import annotations
 
@@ -9,21 +18,25 @@ from pagewright.session import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the toxicity classifier rejects (score of 0.7 and more)."""
     model = toxicity.learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").drop("score", "predicted")
+    return docs if model is None else docs.where(toxicity.score_column(model) < toxicity.CUT)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the quality classifier rejects (score under 0.3)."""
     model = quality.learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model).where("predicted = 1").drop("score", "predicted")
+    return docs if model is None else docs.where(quality.score_column(model) >= quality.CUT)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one document of each class of near copies: that with the smallest id."""
     return neardup.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    """The documents' pieces with their token ids, and the place of each in a sequence of at most 4096 tokens."""
+    return packing.pack_documents(docs, ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("ngram_jaccard_join", drop_near_copies), ("best_fit_packing", pack)]
