@@ -215,8 +215,8 @@ class Block:
 
 
 def completed(marked: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """a, b: labels of classes that a link joins, between a node that is apart from its hub's class and a node of its bucket
-    in another class.
+    """a, b: labels of classes that links join, between a node that is apart from its hub's class and a node of its bucket in
+    another class: of each group's links as many as hold its classes together.
 
     marked: key, node, node_label, hub_label, n_grams. Both sides are dealt out into blocks by hash, and each pair of blocks
     is a group of its own, so that no bucket goes to one task and memory is bounded by a block's sets.
@@ -233,12 +233,19 @@ def completed(marked: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select("key", "i", "j", "side", "node", "label", "grams")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, out = pdf[pdf.side == 0], pdf[pdf.side == 1], set()
+        x, y, out = pdf[pdf.side == 0], pdf[pdf.side == 1], []
         if len(x) and len(y):
-            block, labels = Block(list(y.grams)), y.label.to_numpy()
-            for label, g in zip(x.label, x.grams, strict=True):
-                out |= {(min(label, o), max(label, o)) for o in labels[block.similarities(g) >= similar] if o != label}
-        return pd.DataFrame(sorted(out), columns=["a", "b"])
+            block = Block(list(y.grams))
+            names, at = np.unique(pdf.label.to_numpy(), return_inverse=True)
+            mine, theirs = at[(pdf.side == 0).to_numpy()], at[(pdf.side == 1).to_numpy()]
+            # Of the links between classes only those come out that join what no other link here has joined.
+            part = np.arange(len(names))
+            for k, g in zip(mine, x.grams, strict=True):
+                for j in np.unique(theirs[block.similarities(g) >= similar]):
+                    if part[j] != part[k]:
+                        out.append((min(names[j], names[k]), max(names[j], names[k])))
+                        part[part == part[j]] = part[k]
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return both.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
 
