@@ -26,16 +26,6 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", kept.alias("ls")).select("doc_id", F.size("ls").alias("n_lines"), F.posexplode("ls").alias("line_no", "line"))
 
 
-def strip_furniture(lines: DataFrame, least: int = 2) -> DataFrame:
-    """lines without stamps and without first or last lines whose letters-only key stands at that edge of `least` documents."""
-    kept = lines.where(~tx.stamp(F.col("line")))
-    edge = F.when(F.col("line_no") == 0, "top").when(F.col("line_no") == F.col("n_lines") - 1, "bottom")
-    keyed = kept.withColumn("edge", edge).withColumn("key", F.when(edge.isNotNull(), tx.ascii_letters(F.col("line"))))
-    # Counted by partial sums and joined back: a line that very many documents share is no single task's.
-    often = keyed.where("key <> ''").groupBy("edge", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("edge", "key")
-    return keyed.join(often, ["edge", "key"], "left_anti").select("doc_id", "line_no", "line")
-
-
 def interior_vocabulary(lines: DataFrame) -> DataFrame:
     """word: different lower-cased words of letters that are neither first nor last of their line; parts of compounds too."""
     tokens = F.split(F.trim("line"), r"\s+")

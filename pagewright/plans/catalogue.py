@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -17,26 +16,10 @@ from pagewright.functions import text as tx
 from pagewright.operators import documents as dc
 from pagewright.operators import folios, ink, outline, paragraphs, render, scans, voting
 from pagewright.operators import rows as rw
+from pagewright.plans import pages  # noqa: F401  (registers its queries)
+from pagewright.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 FLAGSHIP = "toc_style_levels"
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 LINES = "WITH d AS (SELECT doc_id, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents), l AS (SELECT doc_id, lang, len(ls) AS n, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM d)"
 
 
@@ -49,13 +32,6 @@ def toc_style_levels(spark, sf_dir):
     return outline.style_levels(lines)
 
 
-@query(LINES + """, k AS (SELECT *, regexp_replace(lower(line), '[^a-z]', '', 'g') AS key, CASE WHEN line_no = 0 THEN 'top' WHEN line_no = n - 1 THEN 'bottom' END AS edge FROM l WHERE NOT regexp_matches(line, '""" + tx.STAMP + """')),
-o AS (SELECT edge, key FROM k WHERE edge IS NOT NULL AND key <> '' GROUP BY edge, key HAVING count(*) >= 2)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.edge = k.edge AND o.key = k.key)""")
-def furniture_stripped(spark, sf_dir):
-    return dc.strip_furniture(dc.document_lines(table(spark, sf_dir, "documents")))
-
-
 @query(LINES + """, t AS (SELECT regexp_split_to_array(trim(line), '\\s+') AS ts FROM l), i AS (SELECT lower(trim(unnest(ts[2:len(ts) - 1]), '""" + dc.EDGES.replace("'", "''") + """')) AS w FROM t), p AS (SELECT unnest(string_split(w, '-')) AS word FROM i)
 SELECT DISTINCT word FROM p WHERE regexp_matches(word, '^\\p{L}+$')""")
 def interior_vocabulary(spark, sf_dir):
