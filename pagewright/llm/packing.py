@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import uuid
 import zlib
 from functools import lru_cache
 
@@ -41,7 +42,8 @@ def default_tokenizer() -> str:
 class Words:
     """Ids of texts word by word: no token goes across a space or a line end."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,7 +59,7 @@ class Words:
         known = self.known
         if new := set().union(*parts).difference(known):
             extra = self.encoded(new)
-            if len(known) + len(extra) <= MEMORY:
+            if len(known) + len(extra) <= self.memory:
                 known.update(extra)
             else:
                 return [b"".join([known[w] if w in known else extra[w] for w in p]) for p in parts]
@@ -89,17 +91,18 @@ class Words:
 
 
 @lru_cache(1)
-def loaded(path: str) -> Words:
-    return Words(path)
+def loaded(path: str, memory: int) -> Words:
+    return Words(path, memory)
 
 
-def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, close: int = CLOSE, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of every piece."""
+def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, close: int = CLOSE, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, memory: int = MEMORY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece; if asked for, also ids (little-endian 32-bit numbers) and piece_key,
+    which tells every piece of the table from all others once it is stored."""
     path, end = tokenizer or default_tokenizer(), np.array([close], "<u4").tobytes()
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary, piece_key binary" * ids
 
     def run(batches):
-        words = loaded(path)
+        words = loaded(path, memory)
         for pdf in batches:
             keys, texts = pdf.doc_id.astype("Int64"), [t if isinstance(t, str) else "" for t in pdf.text]
             for lo in range(0, len(pdf), 256):
@@ -108,8 +111,8 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
                     raw += end
                     for p, at in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[at : at + 4 * capacity]
-                        out.append((d, p, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if ids else [])))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids]).astype({"doc_id": "Int64"})
+                        out.append((d, p, at // 4, len(part) // 4, zlib.crc32(part), *([part, uuid.uuid4().bytes] if ids else [])))
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids", "piece_key"] * ids]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
@@ -193,7 +196,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> DataFrame:
-    """pieces (with doc_id, piece, start, length, ids_crc32 and, if there are, ids) and their sequence_id and offset."""
+    """pieces (doc_id, piece, start, length, ids_crc32) and their sequence_id and offset. Stored pieces with ids keep them: these
+    are left out of all sorts, and meet their places by piece_key in a join that doesn't sort them either."""
+    whole, pieces = pieces, pieces.drop("ids")
     keys = ["doc_id", "piece", "ids_crc32", "start"]
     # One row for each length at most: bounded by the capacity.
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -220,13 +225,17 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) ->
         q = r - first[at]
         return pd.DataFrame({"sequence_id": seq[at] + q // each[at], "offset": offset[at] + q % each[at] * n})
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *[c for c in pieces.columns if c == "ids"]]
-    return ranked.select(*names, place("length", "rank").alias("at")).select(*names, "at.*")
+    names = [c for c in pieces.columns if c != "piece_key"]
+    placed = ranked.select(*pieces.columns, place("length", "rank").alias("at")).select(*pieces.columns, "at.*")
+    if "ids" not in whole.columns:
+        return placed
+    met = whole.select("piece_key", "ids").join(placed.hint("shuffle_hash"), "piece_key")
+    return met.select(*names, "ids", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """The pieces of docs and their places; with ids, what is trained on: each piece's token ids."""
-    return packed(stored(tokenised(docs, tokenizer, capacity, ids=ids), "pieces"), capacity)
+    return packed(stored(tokenised(docs, tokenizer, capacity, ids=ids, memory=memory), "pieces"), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

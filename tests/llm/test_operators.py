@@ -365,7 +365,7 @@ def test_packing(spark, docs, edge):
     model = Tokenizer.from_file(packing.default_tokenizer())
     for df in (docs, edge):
         got = packing.pack_documents(df, capacity=512, ids=True).toPandas()
-        assert [zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in got.ids] == got.ids_crc32.tolist()
+        assert [zlib.crc32(bytes(i)) for i in got.ids] == got.ids_crc32.tolist() and [len(i) // 4 for i in got.ids] == got.length.tolist()
         want = []
         for r in df.collect():
             ids = model.encode(r.text or "", add_special_tokens=False).ids + [1]
@@ -538,7 +538,7 @@ def test_pipeline(spark):
         assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == keep
         docs = out
     got = corpus_pipeline.run(spark, DATA).collect()
-    assert {r.doc_id for r in got} == {r.doc_id for r in docs.collect()} and all(len(r.ids) == r.length for r in got)
+    assert {r.doc_id for r in got} == {r.doc_id for r in docs.collect()} and all(len(r.ids) == 4 * r.length for r in got)
 
 
 def test_stages_edge(spark, edge, tmp_path):
