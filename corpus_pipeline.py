@@ -35,8 +35,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their token ids, and the place of each in a sequence of at most 4096 tokens."""
-    return packing.pack_documents(docs, ids=True)
+    """The documents' pieces with their token ids (little-endian 32-bit numbers), and the place of each in a sequence of at most
+    4096 tokens. Workers remember fewer words than in packing alone, as they carry the ids too."""
+    return packing.pack_documents(docs, ids=True, memory=200_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("ngram_jaccard_join", drop_near_copies), ("best_fit_packing", pack)]
