@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ def first_match(cases: list[tuple[Column, Column]], otherwise: Column) -> Column
 
 def squeezed(c: Column) -> Column:
     """White space runs as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def normalised(c: Column) -> Column:
@@ -107,13 +110,82 @@ def doi(c: Column) -> Column:
 
 
 def tags_stripped(c: Column) -> Column:
-    """Without tags, with the five basic entities resolved."""
+    """Without tags, with the five basic entities and the hard space resolved; all of it in the JVM."""
     out = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     return squeezed(out)
 
 
+def entities_resolved(c: Column) -> Column:
+    """tags_stripped() with every entity resolved; only texts that hold others than the basic ones go to Python."""
+
+    @F.pandas_udf("string")
+    def resolved(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
+
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", "")
+    other = F.regexp_replace(bare, "&(lt|gt|quot|#39|amp|nbsp);", "").rlike(r"&#?\w+;?")
+    return F.when(other, squeezed(resolved(F.when(other, bare)))).otherwise(tags_stripped(c))
+
+
+def is_upper(c: Column) -> Column:
+    return (c == F.upper(c)) & (c != F.lower(c))
+
+
+def title_case(c: Column) -> Column:
+    """Each letter that follows no letter as a capital, all others small."""
+    state = F.aggregate(F.split(c, "(?!^)(?!$)"), F.struct(F.lit("").alias("out"), F.lit(False).alias("inside")), lambda s, x: F.struct(F.concat(s["out"], F.when(s["inside"], F.lower(x)).otherwise(F.upper(x))).alias("out"), x.rlike(r"^\p{L}$").alias("inside")))
+    return state["out"]
+
+
+def name_case(c: Column) -> Column:
+    """A name that is all capitals in title case; other names as they are."""
+    return F.when(is_upper(c), title_case(c)).otherwise(c)
+
+
+def person(p: Column) -> Column:
+    """The name of a record's person or organisation (struct name, given, family)."""
+    parts = F.filter(F.array(p["given"], p["family"]), lambda x: x.isNotNull() & (x != ""))
+    return F.coalesce(F.nullif(p["name"], F.lit("")), F.array_join(F.transform(parts, name_case), " "))
+
+
+def as_in_text(title: Column, text: Column) -> Column:
+    """A title in capitals in the letter case in which the text prints it, if it does."""
+    words = F.regexp_extract_all(title, F.lit(r"(?U)\w+"), F.lit(0))
+    found = F.call_function("regexp_extract", text, F.concat(F.lit("(?iuU)"), F.array_join(words, r"\W+")), F.lit(0))
+    printed = is_upper(title) & (F.size(words) > 0) & (found != "") & ~is_upper(found)
+    return F.when(F.coalesce(printed, F.lit(False)), found).otherwise(title)
+
+
+def quotes_cleaned(c: Column) -> Column:
+    """Doubled curly quotes as one: recognition doubles the strokes of double ones."""
+    return F.regexp_replace(F.regexp_replace(c, "[“‘]{2,}", "“"), "[”’]{2,}", "”")
+
+
+def info_text(c: Column) -> Column:
+    """A document's information field (binary) as text: UTF-16 where a mark says so, else Latin-1."""
+    marked = F.hex(F.substring(c, 1, 2)).isin("FEFF", "FFFE")
+    return squeezed(F.when(marked, F.decode(c, "UTF-16")).otherwise(F.decode(c, "ISO-8859-1")))
+
+
+def info_fields(title: Column, author: Column) -> Column:
+    """struct(title, author) of a document's information: file names, numbers and placeholders are no titles; without a title
+    there is no author. Empty ones are null."""
+    odd = title.rlike(r"(?i)\.(docx?|pdf|indd|tex|dvi|rtf|odt)$|^(microsoft word|untitled)\b|^\d+$")
+    real = F.when(~odd & (title != ""), title)
+    return F.struct(real.alias("title"), F.when(real.isNotNull() & (author != ""), author).alias("author"))
+
+
+def journal_cover(flat: Column) -> Column:
+    """struct of front matter that an archive's cover page gives (its text with white space collapsed); null for other pages."""
+    between = lambda a, b: F.trim(F.regexp_extract(flat, rf"{a}\s*(.*?)\s*(?={b})", 1))
+    source = journal_source(F.regexp_replace(between("Source:", "Published by:|Stable URL:"), r"(\d)-\s+(\d)", "$1-$2"))
+    cover = flat.contains("Stable URL") & flat.contains("JSTOR") & flat.contains("Author(s)")
+    fields = {"type": F.lit("academic"), "title": F.trim(F.split_part(flat, F.lit("Author(s):"), F.lit(1))), "author": authors_joined(between(r"Author\(s\):", "Source:")), **{k: source[k] for k in ("journal", "volume", "issue", "date", "pages", "citation")}, "url": F.regexp_extract(flat, r"Stable URL:\s*(\S+)", 1)}
+    return F.when(cover, F.struct(*[F.nullif(v, F.lit("")).alias(k) for k, v in fields.items()]))
+
+
 def straight_quotes(c: Column) -> Column:
     """Quotes and dashes unified; runs of quotes are one."""
     return F.regexp_replace(F.translate(c, "‘’“”\"—–", "'''''--"), "'+", "'")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import unicodedata
 from collections import deque
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -17,6 +18,17 @@ from pagewright.functions import text as tx
 #: Endings that may be taken off a word, and what stands in their place.
 ENDINGS = [("'s", ""), ("’s", ""), ("ies", "y"), ("ied", "y"), ("es", ""), ("s", ""), ("ed", ""), ("ed", "e"), ("d", ""), ("ing", ""), ("ing", "e"), ("ly", ""), ("er", ""), ("est", ""), ("ness", ""), ("ity", "e"), ("al", "")]
 EDGES = "\"'“”‘’()[]{}.,;:!?*—–-"
+#: What is cut off a word of a reading before it is looked up.
+READING_EDGES = ".,;:!?()[]„“”\"'‚‘’»«-–—/"
+#: Kinds of records that are scholarly, those that are books, a publisher's name that has its place glued on, an imprint.
+SCHOLARLY = ["journal-article", "book", "monograph", "edited-book", "reference-book", "book-chapter", "book-section", "book-part", "proceedings-article", "dissertation", "report", "posted-content"]
+BOOKS = ["book", "monograph", "edited-book", "reference-book"]
+GLUED_PLACE = r"^(.+\b(?:Press|Publishers|Publishing|Verlag|Books))([A-Z][\w ]+)$"
+IMPRINT = r"This (.{2,60}?) imprint is published by"
+#: Share of a record's long title words that must stand on a document's first pages.
+TITLE_SHARE = 0.6
+#: Different words, the commonest ones, that are sent to all tasks.
+COMMON = 10_000
 FRONT_KEYS = ["type", "title", "subtitle", "author", "editor", "date", "journal", "volume", "issue", "booktitle", "series", "publisher", "place", "edition", "pages", "isbn", "doi", "url", "citation"]
 
 
@@ -36,11 +48,19 @@ def interior_vocabulary(lines: DataFrame) -> DataFrame:
 
 
 def known_words(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """tokens (word) with known: in the dictionary as it is or with an ending taken off."""
+    """tokens (word) with known: in the dictionary as it is or with an ending taken off.
+
+    Each different word is judged once; the commonest ones' verdicts are broadcast, so that a word that a large part of all
+    rows hold is no single task's."""
     stems = [F.struct(F.col("word").alias("stem"))] + [F.struct(F.when(F.col("word").endswith(e) & (F.length("word") > len(e) + 1), F.concat(F.expr(f"left(word, length(word) - {len(e)})"), F.lit(r))).alias("stem")) for e, r in ENDINGS]
-    each = tokens.select("word").distinct().select("word", F.inline(F.array(*stems))).where("stem IS NOT NULL")
+    counts = tokens.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))
+    each = counts.select("word", F.inline(F.array(*stems))).where("stem IS NOT NULL")
     found = each.join(dictionary.select(F.col("word").alias("stem")).distinct(), "stem", "left_semi").select("word").distinct().withColumn("known", F.lit(True))
-    return tokens.join(found, "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    told = counts.join(found, "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    common = F.broadcast(told.orderBy(F.desc("n"), "word").limit(COMMON).select("word", F.col("known").alias("_common")))
+    met = tokens.join(common, "word", "left")
+    rare = met.where("_common IS NULL").join(told.select("word", "known"), "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return met.where("_common IS NOT NULL").withColumn("known", F.col("_common")).unionByName(rare).select(*tokens.columns, "known")
 
 
 def merged_front_matter(strong: DataFrame, cover: DataFrame, weak: DataFrame) -> DataFrame:
@@ -60,34 +80,52 @@ def yaml_front_matter(records: DataFrame) -> DataFrame:
 
 
 def crossref_fields(records: DataFrame) -> DataFrame:
-    """doc_id and front matter of a JSON bibliographic record (column record)."""
+    """doc_id and front matter of a JSON bibliographic record (column record). With a column text, the document's first pages,
+    a title in capitals takes the letter case printed there, and the publisher is the imprint that they name."""
     person = "array<struct<name:string,given:string,family:string>>"
     schema = f"type string, title array<string>, subtitle array<string>, `container-title` array<string>, author {person}, editor {person}, issued struct<`date-parts`:array<array<int>>>, page string, volume string, issue string, publisher string, `publisher-location` string, `edition-number` string, ISBN array<string>, DOI string"
-    r = records.select("doc_id", F.from_json("record", schema).alias("r")).select("doc_id", "r.*")
+    shown = F.col("text") if "text" in records.columns else F.lit("")
+    r = records.select("doc_id", F.coalesce(shown, F.lit("")).alias("_shown"), F.from_json("record", schema).alias("r")).select("doc_id", "_shown", "r.*")
+    imprint = F.regexp_extract(F.regexp_replace("_shown", r"\s+", " "), IMPRINT, 1)
     first = lambda c: F.coalesce(F.get(F.col(c), F.lit(0)), F.lit(""))
-    case = lambda c: F.when((c == F.upper(c)) & (c != F.lower(c)), F.initcap(F.lower(c))).otherwise(c)
-    people = lambda c: F.coalesce(F.array_join(F.transform(F.col(c), lambda p: F.coalesce(F.nullif(p["name"], F.lit("")), F.concat_ws(" ", case(p["given"]), case(p["family"])))), " & "), F.lit(""))
+    people = lambda c: F.coalesce(F.array_join(F.transform(F.col(c), tx.person), " & "), F.lit(""))
     parts = F.filter(F.get(F.col("issued.date-parts"), F.lit(0)), lambda x: x.isNotNull() & (x != 0))
     box = F.transform(F.coalesce("container-title", F.array().cast("array<string>")), tx.tags_stripped)
-    article, book = F.col("type") == "journal-article", F.col("type").isin("book", "monograph", "edited-book", "reference-book")
-    glued = r"^(.+\b(?:Press|Publishers|Publishing|Verlag|Books))([A-Z][\w ]+)$"
+    article, book = F.col("type") == "journal-article", F.col("type").isin(BOOKS)
+    glued = GLUED_PLACE
     house, place = F.coalesce("publisher", F.lit("")), F.coalesce(F.col("publisher-location"), F.lit(""))
     only = lambda test, c: F.coalesce(F.when(test, c), F.lit(""))
-    scholarly = ["journal-article", "book", "monograph", "edited-book", "reference-book", "book-chapter", "book-section", "book-part", "proceedings-article", "dissertation", "report", "posted-content"]
     return r.select(
-        "doc_id", only(F.col("type").isin(scholarly), F.lit("academic")).alias("type"),
-        F.regexp_replace(tx.tags_stripped(first("title")), r"^[IVXLC]+\.\s*[—–-]\s*", "").alias("title"), tx.tags_stripped(first("subtitle")).alias("subtitle"),
+        "doc_id", only(F.col("type").isin(SCHOLARLY), F.lit("academic")).alias("type"),
+        F.regexp_replace(tx.as_in_text(tx.tags_stripped(first("title")), F.col("_shown")), r"^[IVXLC]+\.\s*[—–-]\s*", "").alias("title"), tx.tags_stripped(first("subtitle")).alias("subtitle"),
         people("author").alias("author"), people("editor").alias("editor"),
         F.coalesce(F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x.cast("string")).otherwise(F.lpad(x.cast("string"), 2, "0"))), "-"), F.lit("")).alias("date"),
         only(article, F.get(box, F.lit(0))).alias("journal"), only(article, F.col("volume")).alias("volume"), only(article, F.col("issue")).alias("issue"),
         only(~article & ~book, F.try_element_at(box, F.lit(-1))).alias("booktitle"), only(book | (~article & (F.size(box) > 1)), F.get(box, F.lit(0))).alias("series"),
-        only(~article, F.when(house.rlike(glued), F.regexp_extract(house, glued, 1)).otherwise(house)).alias("publisher"),
+        only(~article, F.when(imprint != "", imprint).when(house.rlike(glued), F.regexp_extract(house, glued, 1)).otherwise(house)).alias("publisher"),
         only(~article, F.when(house.rlike(glued) & (place == ""), F.regexp_extract(house, glued, 2)).otherwise(place)).alias("place"),
         only(~article, F.col("edition-number")).alias("edition"), F.replace(F.coalesce("page", F.lit("")), F.lit("-"), F.lit("–")).alias("pages"),
         only(~article, F.array_join("ISBN", ", ")).alias("isbn"), F.coalesce("DOI", F.lit("")).alias("doi"), F.lit("").alias("url"), F.lit("").alias("citation"),
     )
 
 
+def document_metadata(first_pages: DataFrame, info: DataFrame, records: DataFrame) -> DataFrame:
+    """Front matter of each document (doc_id and FRONT_KEYS): that of the record of the identifier on its first pages, if the
+    record's title stands there, above the document's own information.
+
+    first_pages: doc_id, text; info: doc_id, title, author; records: doi, record (JSON), fetched beforehand. An identifier
+    without a record is front matter itself; one whose record's title isn't on the first pages was only cited."""
+    pages = first_pages.select("doc_id", "text", tx.doi(F.col("text")).alias("_doi"))
+    held = pages.join(records.select(F.col("doi").alias("_doi"), "record").where("_doi IS NOT NULL").dropDuplicates(["_doi"]), "_doi", "left")
+    fields = crossref_fields(held.where("record IS NOT NULL")).join(pages, "doc_id")
+    words = F.regexp_extract_all(F.lower("title"), F.lit(r"(?U)\w{4,}"), F.lit(0))
+    there = F.size(F.filter(words, lambda w: F.lower("text").contains(w)))
+    own = fields.where((F.size(words) > 0) & (there >= TITLE_SHARE * F.size(words))).withColumn("doi", F.col("_doi")).select("doc_id", *FRONT_KEYS)
+    bare = held.where("record IS NULL AND _doi IS NOT NULL").select("doc_id", *[(F.col("_doi") if k == "doi" else F.lit(None).cast("string")).alias(k) for k in FRONT_KEYS])
+    nothing = first_pages.select("doc_id").limit(0)
+    return merged_front_matter(own.unionByName(bare), nothing, first_pages.select("doc_id").join(info, "doc_id", "left"))
+
+
 def linked_notes(refs: DataFrame, notes: DataFrame) -> DataFrame:
     """refs (doc_id, page, seq, label) with note_id: the n-th reference of a label on a page is the n-th note of it, but for '?'.
     Then, document by document in order, those left over whose label is a number, '?' or marks take the first free note of
@@ -136,34 +174,101 @@ def merged_runs(rows: DataFrame, key: str, order: str, gap: float) -> DataFrame:
     return rows.withColumn("_opens", opens).withColumn("run", F.sum("_opens").over(w)).drop("_opens")
 
 
-def _edit_ops(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """Substitutions, insertions, deletions of a shortest edit of a into b."""
-    row = [(j, 0, j, 0) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        new = [(i, 0, 0, i)]
-        for j, y in enumerate(b, 1):
-            if x == y:
-                new.append(row[j - 1])
-                continue
-            (s, p), (t, q), (u, r) = ((v[0], v) for v in (row[j - 1], new[-1], row[j]))
-            new.append((s + 1, p[1] + 1, p[2], p[3]) if s <= t and s <= u else (t + 1, q[1], q[2] + 1, q[3]) if t <= u else (u + 1, r[1], r[2], r[3] + 1))
-        row = new
-    return row[-1][1:]
-
-
-def reading_errors(pairs: DataFrame) -> DataFrame:
-    """pairs (name, gold, reading) with cer, cer_letters, wer, subs, ins, dels; texts in NFC with white space collapsed."""
-    @F.pandas_udf("struct<g:string,o:string,subs:int,ins:int,dels:int>")
-    def prepared(gold: pd.Series, reading: pd.Series) -> pd.DataFrame:
-        tidy = lambda s: " ".join(unicodedata.normalize("NFC", s or "").split())
-        rows = [(g, o, *_edit_ops(g.split(), o.split())) for g, o in zip(map(tidy, gold), map(tidy, reading), strict=True)]
-        return pd.DataFrame(rows, columns=["g", "o", "subs", "ins", "dels"])
-
-    p = pairs.withColumn("p", prepared("gold", "reading")).select("name", "p.*")
+def edit_path(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+    """A shortest edit of a into b as (kind, place in a, place in b): replace, insert, delete.
+
+    Distances are told row by row within a band about the diagonal, which is doubled until the distance fits into it; so the
+    work grows with the length times the distance."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    code: dict[str, int] = {}
+    x, y = (np.array([code.setdefault(w, len(code)) for w in ws[start : len(ws) - end]]) for ws in (a, b))
+    n, m, far = len(x), len(y), len(a) + len(b) + 1
+    reach = 8
+    while True:
+        reach = min(max(reach, abs(n - m) + 1), n + m + 1)
+        # Column k of a row i is place i - reach + k of y.
+        width = 2 * reach + 1
+        rows = np.full((n + 1, width), far, "i4")
+        places = np.arange(width) - reach
+        rows[0] = np.where((places >= 0) & (places <= m), places, far)
+        for i in range(1, n + 1):
+            j = places + i
+            inside = (j >= 0) & (j <= m)
+            same = np.zeros(width, bool)
+            ok = (j >= 1) & (j <= m)
+            same[ok] = y[j[ok] - 1] == x[i - 1]
+            best = np.minimum(np.where(j >= 1, rows[i - 1] + ~same, far), np.append(rows[i - 1][1:], far) + 1)
+            best = np.where(inside, best, far)
+            rows[i] = np.where(inside, np.minimum.accumulate(best - np.arange(width)) + np.arange(width), far)
+        distance = rows[n][m - n + reach]
+        if distance <= reach or reach > n + m:
+            break
+        reach *= 2
+    out, i, j = [], n, m
+    while i or j:
+        k = j - i + reach
+        here = rows[i][k]
+        if i and j and rows[i - 1][k] + (x[i - 1] != y[j - 1]) == here:
+            if x[i - 1] != y[j - 1]:
+                out.append(("replace", start + i - 1, start + j - 1))
+            i, j = i - 1, j - 1
+        elif j and k and rows[i][k - 1] + 1 == here:
+            j -= 1
+            out.append(("insert", start + i, start + j))
+        else:
+            i -= 1
+            out.append(("delete", start + i, start + j))
+    return out[::-1]
+
+
+def nfc(c: Column) -> Column:
+    """White space collapsed, letters and their accents put together; pure ASCII doesn't go to Python."""
+
+    @F.pandas_udf("string")
+    def composed(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    odd = c.rlike(r"[^\x00-\x7F]")
+    return tx.squeezed(F.when(odd, composed(F.when(odd, c))).otherwise(F.coalesce(c, F.lit(""))))
+
+
+def reading_errors(pairs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """pairs (name, gold, reading) with cer, cer_letters, wer, subs (array of struct gold, read), ins, dels and, with a
+    dictionary (word), plausible: how many words were put in or for others that are words themselves."""
+    texts = pairs.select("name", nfc(F.col("gold")).alias("g"), nfc(F.col("reading")).alias("o"))
+
+    @F.pandas_udf("subs array<struct<gold:string,read:string>>, ins array<string>, dels array<string>")
+    def edited(gold: pd.Series, reading: pd.Series) -> pd.DataFrame:
+        out = []
+        for g, o in zip(gold, reading, strict=True):
+            g, o = g.split(), o.split()
+            ops = edit_path(g, o)
+            out.append(([{"gold": g[i], "read": o[j]} for kind, i, j in ops if kind == "replace"], [o[j] for kind, _, j in ops if kind == "insert"], [g[i] for kind, i, _ in ops if kind == "delete"]))
+        return pd.DataFrame(out, columns=["subs", "ins", "dels"])
+
+    p = texts.withColumn("e", edited("g", "o")).select("name", "g", "o", "e.*")
     rate = lambda a, b: F.levenshtein(a, b) / F.greatest(F.length(a), F.lit(1))
     letters = lambda c: tx.without_punctuation(F.col(c))
     n = F.greatest(F.size(F.filter(F.split("g", " "), lambda x: x != "")), F.lit(1))
-    return p.select("name", rate(F.col("g"), F.col("o")).alias("cer"), rate(letters("g"), letters("o")).alias("cer_letters"), ((F.col("subs") + F.col("ins") + F.col("dels")) / n).alias("wer"), "subs", "ins", "dels")
+    out = p.select("name", rate(F.col("g"), F.col("o")).alias("cer"), rate(letters("g"), letters("o")).alias("cer_letters"), ((F.size("subs") + F.size("ins") + F.size("dels")) / n).alias("wer"), "subs", "ins", "dels")
+    if dictionary is None:
+        return out
+    low = lambda c: F.lower(tx.without_punctuation(c))
+    wrong = F.concat(F.transform(F.filter("subs", lambda s: low(s["gold"]) != low(s["read"])), lambda s: s["read"]), F.col("ins"))
+    words = out.select("name", F.explode(wrong).alias("w")).select("name", F.btrim("w", F.lit(READING_EDGES)).alias("word")).where(r"word rlike '^\\p{L}+$'")
+    counts = words.join(dictionary.select("word").distinct(), "word", "left_semi").groupBy("name").agg(F.count("*").alias("plausible"))
+    return out.join(counts, "name", "left").withColumn("plausible", F.coalesce("plausible", F.lit(0).cast("long")))
+
+
+def compared_readings(gold: DataFrame, readings: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """The errors of every reading (doc_id, name, text) against its document's gold text (doc_id, text)."""
+    pairs = readings.join(gold.select("doc_id", F.col("text").alias("gold")), "doc_id").select(F.concat_ws("/", F.col("doc_id").cast("string"), "name").alias("name"), "gold", F.col("text").alias("reading"))
+    return reading_errors(pairs, dictionary)
 
 
 def crop_summary(log: DataFrame) -> DataFrame:

@@ -188,7 +188,8 @@ def scan_glyphs(lines: DataFrame) -> DataFrame:
     words = lines.select(*LINE, "baseline", F.col("size").alias("row_size"), F.posexplode("words").alias("k", "v")).select(*LINE, "baseline", "row_size", "k", "v.*")
     lone = (F.col("text") == "") & (F.col("k") > 0)
     words = words.withColumn("sup_before", F.when(lone, F.coalesce("sup_before", "sup_after", F.lit("?"))).otherwise(F.col("sup_before"))).withColumn("sup_after", F.when(~lone, F.col("sup_after")))
-    space = F.when(lone | F.lag("k").over(w).isNull(), "").otherwise(" ")
+    words = words.withColumn("_opening", F.lag("k").over(w).isNull())
+    space = F.when((F.col("text") == "") & (F.col("k") > 0) | F.col("_opening"), "").otherwise(" ")
     inner = F.when(F.col("sup_before").isNotNull() & ~lone & (F.col("text") != ""), " ").otherwise("")
     piece = lambda text, up, lean, a, b: F.struct(F.coalesce(text, F.lit("")).alias("t"), F.lit(up).alias("up"), lean.alias("lean"), a.alias("a"), b.alias("b"))
     no = F.lit(False)

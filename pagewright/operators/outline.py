@@ -38,13 +38,17 @@ def style_levels(lines: DataFrame, indent_size: int = 30, height_size: int = 6)
     return styles.withColumn("level", F.row_number().over(order))
 
 
+#: What is said above an outline that is to be corrected by hand.
+OUTLINE_HEAD = "// Draft of the printed contents: levels are guessed from type and indent.\n// Correct the number of # signs and the page after @ where they are wrong.\n// Lines that begin with // are left out.\n"
+
+
 def toc_outline(lines: DataFrame, indent_size: int = 30, height_size: int = 6) -> DataFrame:
-    """doc_id and the outline text of its contents lines."""
+    """doc_id and the outline text of its contents lines, with a comment above."""
     marked = lines.withColumn("indent_bucket", tx.floored(F.col("indent"), indent_size)).withColumn("height_bucket", tx.floored(F.col("height"), height_size))
     joined = marked.join(style_levels(lines, indent_size, height_size), ["doc_id", "prefix", "indent_bucket", "height_bucket"])
     line = F.concat(F.expr("repeat('#', level)"), F.lit(" "), "text", F.coalesce(F.concat(F.lit(" @ "), F.col("page_hint").cast("string")), F.lit("")))
     rows = F.array_sort(F.collect_list(F.struct("page", "block_num", "par_num", "line_num", line.alias("line"))))
-    return joined.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("outline"))
+    return joined.groupBy("doc_id").agg(F.concat(F.lit(OUTLINE_HEAD), F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("outline"))
 
 
 def upper_median(c: str):
@@ -53,11 +57,15 @@ def upper_median(c: str):
 
 
 def heading_candidates(words: DataFrame, threshold: float = 1.4, min_words: int = 1, keep_noise: bool = False) -> DataFrame:
-    """doc_id, page, rel (largest height by the page's upper median), text."""
-    medians = words.groupBy("doc_id", "page").agg(upper_median("height").alias("median")).where("median > 0")
-    large = words.join(medians, ["doc_id", "page"]).where(F.col("height") >= threshold * F.col("median"))
-    lines = line_text(large).join(medians, ["doc_id", "page"]).where(F.col("n_words") >= min_words)
-    found = lines.select(*LINE, (F.col("height") / F.col("median")).alias("rel"), "text")
+    """doc_id, page, rel (largest height by the page's upper median), text. One shuffle by page: lines are within it."""
+    page = W.partitionBy("doc_id", "page")
+    ranked = words.withColumn("_k", F.row_number().over(page.orderBy("height"))).withColumn("_n", F.count("height").over(page)).withColumn("_nulls", F.count("*").over(page) - F.col("_n"))
+    # Rows without a height come first in the order.
+    median = F.max(F.when(F.col("_k") - F.col("_nulls") == F.floor(F.col("_n") / 2) + 1, F.col("height"))).over(page)
+    large = ranked.withColumn("_median", median).where((F.col("_median") > 0) & (F.col("height") >= threshold * F.col("_median")))
+    order = F.array_sort(F.collect_list(F.struct("word_num", "left", "text")))
+    lines = large.groupBy(*LINE).agg(F.array_join(F.transform(order, lambda w: w["text"]), " ").alias("text"), (F.max("height") / F.first("_median")).alias("rel"), F.count("*").alias("_many"))
+    found = lines.where(F.col("_many") >= min_words).select(*LINE, "rel", "text")
     return found if keep_noise else found.where(~tx.heading_noise(F.col("text")))
 
 
@@ -77,10 +85,12 @@ def parse_outline(texts: DataFrame) -> DataFrame:
     return lines.select("doc_id", "seq", tx.outline_line(F.col("line")).alias("o")).where("o IS NOT NULL").select("doc_id", "seq", "o.*")
 
 
-def with_parents(entries: DataFrame) -> DataFrame:
-    """entries (doc_id, seq, level, ...) and parent: seq of the last earlier entry of a smaller level."""
-    before = F.collect_list(F.struct("seq", "level")).over(W.partitionBy("doc_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    return entries.withColumn("parent", F.array_max(F.transform(F.filter(before, lambda e: e["level"] < F.col("level")), lambda e: e["seq"])))
+def with_parents(entries: DataFrame, deepest: int = 12) -> DataFrame:
+    """entries (doc_id, seq, level up to `deepest`, ...) and parent: seq of the last earlier entry of a smaller level."""
+    before = W.partitionBy("doc_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    # The last entry of each level before this one, level by level: no list of all earlier entries.
+    last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("seq")), ignorenulls=True).over(before)) for k in range(1, deepest)]
+    return entries.withColumn("parent", F.greatest(*last))
 
 
 def place_headings(entries: DataFrame, shows: DataFrame, reach: int = 20) -> DataFrame:
