@@ -548,7 +548,7 @@ def test_stages_edge(spark, edge, tmp_path):
     edge = edge.withColumnRenamed("row", "predicted").withColumnRenamed("node", "label")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES:
-        for folder in (DATA, str(tmp_path)):
+        for folder in (DATA, str(tmp_path)) if name in ("toxicity", "quality") else (DATA,):
             out, empty = stage(spark, edge, folder), stage(spark, edge.limit(0), folder)
             assert empty.count() == 0
             if name == "best_fit_packing":
