@@ -85,7 +85,7 @@ def heading_noise(c: Column) -> Column:
 
 
 def authors_joined(c: Column) -> Column:
-    parts = F.transform(F.split(c, r",\s*(?:and\s+)?|\s+and\s+"), F.trim)
+    parts = F.transform(F.split(c, r",\s*(?:and\s+)?|\s+and\s+"), lambda p: F.trim(p))
     return F.array_join(F.filter(parts, lambda p: p != ""), " & ")
 
 

@@ -101,7 +101,7 @@ def merged_paragraphs(words: DataFrame) -> DataFrame:
 
 def copy_text(lines: Column) -> Column:
     """An array of lines as running text: hyphens at line ends go where a lower-case letter follows."""
-    whole = F.array_join(F.filter(F.transform(lines, F.trim), lambda x: x != ""), "\n")
+    whole = F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
     return tx.spaced_dashes(F.replace(F.regexp_replace(whole, r"(?<=\p{L})-\n(?=\p{Ll})", ""), F.lit("\n"), F.lit(" ")))
 
 
