@@ -441,3 +441,26 @@ _MARKS = [(0.95, 0.45, "sup"), (0.8, 0.6, "quote"), (0.2, -0.3, "sub"), (0.2, -0
 @query(_sql(_MARKS, "top, bottom, kind"))
 def mark_kinds(spark, sf_dir):
     return _rows(spark, [r[:2] for r in _MARKS], "top double, bottom double").withColumn("kind", scans.mark_kind(F.col("top"), F.col("bottom")))
+
+
+@query(LINES + f""", t AS (SELECT doc_id, line_no, trim(line) AS line, regexp_split_to_array(trim(line), '\\s+') AS ts FROM l)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, len(list_filter(ts, lambda t: length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) >= 3)) = 0 OR (len(ts) = 1 AND (regexp_matches(line, '{tx.FOOTNOTE_TAIL.replace("'", "''")}') OR regexp_matches(line, '[.,;:]$'))) AS noise FROM t""")
+def noisy_lines(spark, sf_dir):
+    """Every line of the documents as a heading candidate: whether it is noise."""
+    return dc.document_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", tx.heading_noise(F.col("line")).alias("noise"))
+
+
+@query(LINES + f""", e AS (SELECT doc_id, line_no, replace(regexp_replace(line, '([\\\\*_`~^$])', '\\\\\\1', 'g'), '==', '\\=\\=') AS t FROM l)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN regexp_matches(t, '^(#{{1,6}}\\s|>|[-+*]\\s|/|\\+\\+\\+|\\{{\\{{)') THEN '\\' || t ELSE regexp_replace(t, '^(\\d+)([.)]\\s)', '\\1\\\\\\2') END AS safe FROM e""")
+def safe_lines(spark, sf_dir):
+    """Every line of the documents as a Markdown paragraph that reads as it is."""
+    return dc.document_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", render.block_start_escaped(tx.escaped(F.col("line"))).alias("safe"))
+
+
+# (shape) an order's line items as entries of an outline, their level from the quantity.
+@query("""
+WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS seq, CAST(1 + max(l_quantity) % 5 AS INTEGER) AS level FROM lineitem GROUP BY 1, 2)
+SELECT doc_id, seq, level, (SELECT max(b.seq) FROM e b WHERE b.doc_id = e.doc_id AND b.seq < e.seq AND b.level < e.level) AS parent FROM e""")
+def outline_parents(spark, sf_dir):
+    entries = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq")).agg((1 + F.max("l_quantity") % 5).cast("int").alias("level"))
+    return outline.with_parents(entries)
