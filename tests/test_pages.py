@@ -11,7 +11,7 @@ from pagewright import entries, schemas
 from pagewright.functions import runs as rn
 from pagewright.functions import style
 from pagewright.functions import text as tx
-from pagewright.operators import assemble, documents, furniture, glyphs, images, notes, scanpage, tidying
+from pagewright.operators import assemble, documents, furniture, glyphs, images, notes, readings, tidying
 from pagewright.operators import blocks as bl
 from pagewright.session import stored
 from pagewright.sources import pdf as source
@@ -326,7 +326,7 @@ def test_crops(spark):
 
 
 def test_marks_of_words():
-    told = scanpage.decorated
+    told = readings.decorated
     assert told("evil.1", ["glyph"] * 4 + ["period", "sup"]) == ("evil.", None, "1", False)
     assert told("1See", ["sup", "glyph", "glyph", "glyph"]) == ("See", "1", None, False)
     assert told("s1", ["glyph", "sub"]) == ("s₁", None, None, True) and told("51", ["glyph", "sub"]) == ("s₁", None, None, True)
@@ -343,10 +343,10 @@ def test_scan_votes(spark):
         (1, 1, 3, [w("5₁", 0, 20, sub=True), w("evil.", 30, 80)], ["s1", "evil.3"]),
         (1, 1, 4, [w("alone", 0, 40)], None),
     ]
-    df = spark.createDataFrame(lines, f"doc_id long, page int, line_no int, words array<{scanpage.MARKED}>, layer array<string>")
+    df = spark.createDataFrame(lines, f"doc_id long, page int, line_no int, words array<{readings.MARKED}>, layer array<string>")
     valid = spark.createDataFrame([(1, 1, n, ["being", "is", "An", "omniscient,", "evil."]) for n in (1, 2, 3)], "doc_id long, page int, line_no int, valid array<string>")
     got: dict = {}
-    for r in sorted(scanpage.voted_words(df, valid).collect(), key=lambda r: (r.line_no, r.n)):
+    for r in sorted(readings.voted_words(df, valid).collect(), key=lambda r: (r.line_no, r.n)):
         got.setdefault(r.line_no, []).append((r.text, r.sup_after))
     assert got[1] == [("being", None), ("is", "7")] and got[2] == [("An", None), ("omniscient,", None), ("", "4")] and got[4] == [("alone", None)]
     assert got[3][0] == ("s₁", None) and got[3][1][0] == "evil."
@@ -365,7 +365,7 @@ def test_scan_page(spark):
             x += crop.shape[1] + 10
     schema = "doc_id long, page int, line_no int, word_no int, text string, left int, top int, right int, bottom int, conf double, crop binary, base double, x_size double, slant double, gain double, line_left int, line_top int, line_right int, line_bottom int, line_base double"
     layer = spark.createDataFrame([(1, 1, 1, 10.0, 100.0, 200.0, 119.0, ["the", "being"])], "doc_id long, page int, layer_no int, x0 double, y0 double, x1 double, y1 double, tokens array<string>")
-    lines = scanpage.scan_lines(spark.createDataFrame(words, schema), layer, spark.createDataFrame([("is",), ("it",), ("all",), ("so",)], "word string"), 144)
+    lines = readings.scan_lines(spark.createDataFrame(words, schema), layer, spark.createDataFrame([("is",), ("it",), ("all",), ("so",)], "word string"), 144)
     got = {r.row_no: r for r in glyphs.scan_rows(stored(lines, "lines")).collect()}
     assert {k: "".join(x.text for x in r.runs).strip() for k, r in got.items()} == {0: "the being", 1: "is it", 2: "all so"}
     assert all(r.fuzzy for r in got.values()) and got[0].x0 == 5.0 and got[0].baseline == pytest.approx(-59.5)
