@@ -210,6 +210,37 @@ def test_quality_threshold():
     assert w[0] > 5 * np.abs(w[1:]).max()
 
 
+def test_quality_learns_from_all_labels(spark):
+    """Bad ones that come after 20,000 others in the order of the ids' hashes are learnt from, and so is every other label."""
+    ids = spark.range(26_000).withColumnRenamed("id", "doc_id").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas().doc_id.tolist()
+    assert len(ids) > 20_400
+    rows = [(d, "lorem ipsum | dolor ||| !!!" if k >= 20_000 else f"a fair text of plain words, number {d}", int(k < 20_000), 0) for k, d in enumerate(ids)]
+    table = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text", "quality", "toxic"]))
+    model = quality.learn_quality(table, table.select("doc_id", "quality", "toxic"))
+    assert model["quantile"] == pytest.approx((len(ids) - 20_000) / len(ids), abs=1e-3)
+    got = quality.scores(["lorem ipsum | dolor ||| !!!", "a fair text of plain words, number 7"], model)
+    assert got[0] < 0.3 <= got[1]
+
+
+def test_quality_all_pairs(spark, docs):
+    """The model is where the mean loss of all pairs of a good and a bad document, written out, has no slope; the cut is the
+    quantile of all labelled rows' scores."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.learn_quality(docs, labels)
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality").toPandas()
+    rows = rows[[zlib.crc32(str(d).encode()) % 5 != 0 for d in rows.doc_id]]
+    x, y = np.stack([quality.features(t) for t in rows.text]).astype("f8"), rows.quality.to_numpy()
+    scale = x.std(0) + 1e-6
+    scale[len(quality.MEASURES) :] = math.sqrt((scale[len(quality.MEASURES) :] ** 2).mean())
+    d = ((x[y > 0][:, None] - x[y == 0][None]) / scale).reshape(-1, x.shape[1])
+    w = model["w"] * scale
+    slope = quality.RIDGE * w - (d / (1 + np.exp(d @ w))[:, None]).mean(0)
+    assert np.abs(slope).max() < 1e-3 * np.abs(d.mean(0) / 2).max()
+    s = np.sort(x @ model["w"] + model["b"])
+    k = round(model["quantile"] * len(s))
+    assert s[k - 1] - 0.01 <= model["cut"] <= s[k] + 0.01
+
+
 @pytest.mark.parametrize("name, target, at_least", [("op4_toxicity", "toxic", 0.93), ("op5_quality", "quality", 0.97)])
 def test_held_out(spark, name, target, at_least):
     path = "/root/testdata/sf0.1"
