@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 #: Keys that may be broadcast as hot in hot_left_join: so many at most, whatever the input.
 HOT_KEYS = 1000
+#: What this worker remembers, of one operator.
+_remembered: dict | None = None
+
+
+def remember(memory: dict) -> None:
+    """To be called before words are put into an operator's memory: that of the operator before is emptied. Workers serve one
+    stage after another, and their memories would add up."""
+    global _remembered
+    if _remembered is not memory:
+        if _remembered is not None:
+            _remembered.clear()
+        _remembered = memory
 
 
 def words(text: str | None) -> list[str]:

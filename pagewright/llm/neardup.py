@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import WORD, hot_left_join, small_batches
+from pagewright.llm.common import WORD, hot_left_join, remember, small_batches
 from pagewright.session import Scratch, stored
 
 N, SIMILAR, RECALL, HASHES = 5, 0.8, 0.9995, 128
@@ -68,6 +68,7 @@ def gram_set(text: str | None, n: int = N) -> np.ndarray:
     ws = WORD.findall(text.lower()) if isinstance(text, str) else []
     if not ws:
         return np.empty(0, "u8")
+    remember(_hashes)
     h = np.fromiter(map(_hashes.__getitem__, ws), "u8", len(ws))
     size = min(n, len(ws))
     out = np.full(len(h) - size + 1, size if len(ws) < n else n, "u8")

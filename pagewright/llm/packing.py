@@ -18,7 +18,6 @@ import bisect
 import os
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pagewright.llm.common import remember
 from pagewright.session import stored
 
 CAPACITY, CLOSE = 4096, 1
@@ -90,9 +90,15 @@ class Words:
         return fresh
 
 
-@lru_cache(1)
+_loaded: dict[tuple[str, int], Words] = {}
+
+
 def loaded(path: str, memory: int) -> Words:
-    return Words(path, memory)
+    remember(_loaded)
+    if (path, memory) not in _loaded:
+        _loaded.clear()
+        _loaded[path, memory] = Words(path, memory)
+    return _loaded[path, memory]
 
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, close: int = CLOSE, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, memory: int = MEMORY) -> DataFrame:

@@ -586,3 +586,34 @@ def test_stages_edge(spark, edge, tmp_path):
                 assert {r.doc_id for r in out.collect()} == {d for d, _ in EDGE}
             else:
                 assert out.columns == edge.columns and out.count() == len(EDGE) - (name == "ngram_jaccard_join")
+
+
+def test_pipeline_hands_out_few_texts(spark, docs, edge, monkeypatch):
+    """No stage gives a worker a batch of 10,000 whole texts, and scores are those of whole batches."""
+    import corpus_pipeline
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    every = docs.unionByName(edge.select(docs.columns))
+    for stage, learn, column in ((corpus_pipeline.drop_toxic, toxicity.learn_toxicity, toxicity.score_column), (corpus_pipeline.drop_poor, quality.learn_quality, quality.score_column)):
+        plan = stage(spark, every, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+        for model in (learn(docs, labels), None):
+            assert every.where(~column(model, arrow=False).eqNullSafe(column(model))).count() == 0
+    name, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.stored
+    monkeypatch.setattr(packing, "stored", lambda *a: (seen.append(int(spark.conf.get(name))), plain(*a))[1])
+    before = spark.conf.get(name)
+    corpus_pipeline.pack(spark, edge, DATA)
+    assert seen and max(seen) <= 1000 and spark.conf.get(name) == before
+
+
+def test_worker_remembers_one_operator():
+    path = packing.default_tokenizer()
+    quality.features("a few words")
+    assert quality._buckets
+    neardup.gram_set("a few words of another operator")
+    assert neardup._hashes and not quality._buckets
+    few = packing.loaded(path, 10)
+    assert packing.loaded(path, 10) is few and not neardup._hashes
+    assert packing.loaded(path, 20).memory == 20 and len(packing._loaded) == 1
+    quality.features("a few words")
+    assert quality._buckets and not packing._loaded
