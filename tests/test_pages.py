@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,18 @@ def test_interrupted_paragraph(spark):
     assert [r.block for r in told.orderBy("row_no").collect()] == [0, 0, 0, 0, 1, 0, 0, 0, 0]
 
 
+def test_blocks_followed_in_batches(spark):
+    """Documents go to Python many at a time and are measured once: their blocks are the same however rows are dealt in batches."""
+    rows = [(d, 1 + k // 4, k % 4, 72.0 if k % 3 else 84.0, 400.0, 72.0, 400.0, 10.0, None, None if k else True, k % 3 == 0, False, k % 4 > 0, False, d % 2 == 0 and k == 0, False, False, True, True, str(k // 4)) for d in range(5) for k in range(9)]
+    table = pa.table(dict(zip(bl.COLUMNS, map(list, zip(*rows, strict=True)), strict=True)))
+    told = [pa.Table.from_batches(bl.followed(table.to_batches(max_chunksize=n)), bl.TOLD).to_pylist() for n in (1, 4, 45)]
+    assert told[0] == told[1] == told[2] and [t["block"] for t in told[0]] == [k // 3 for k in range(9)] * 5
+    assert {t["kind"] for t in told[0] if t["doc_id"] == 2 and t["block"] == 0} == {"h"}
+    one = rows_of(spark, [row(1, k, ["plain text of the page"]) for k in range(3)]).withColumn("body", F.lit(10.0)).withColumn("pdf_page", F.col("page"))
+    plan = bl.with_blocks(one)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInPandas" not in plan and "Window" not in plan
+
+
 def test_markdown(spark):
     """Hyphens, styles, notes, page marks, a subtitle, a slash, quotes of a scan, the front matter."""
     body = [(1, "Notes on it, first page to page"), (2, "next")]
