@@ -3,7 +3,9 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pagewright.functions import style
 from pagewright.functions import text as tx
 from pagewright.operators import assemble, documents, furniture, glyphs, images, notes, readings, tidying
 from pagewright.operators import blocks as bl
+from pagewright.plans import catalogue
 from pagewright.session import stored
 from pagewright.sources import pdf as source
 
@@ -202,6 +205,23 @@ def test_blocks_followed_in_batches(spark):
     assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInPandas" not in plan and "Window" not in plan
 
 
+#: Texts whose words alone would mislead: paragraphs of two rows throughout, last rows that read as numbers, lone words longer
+#: than the prose, nothing but lone words.
+MISLEADING = ["\n".join(["house and go on", "river of words"] * 60), "\n".join(["so vi", "Title", "to im"] * 40), "Internationalization\na b", "Title\nim\nvi", "im", "\n".join(["vi", "im"] * 50)]
+
+
+@pytest.mark.parametrize("name", ["pages_without_furniture", "paragraph_blocks"])
+def test_misleading_texts(spark, tmp_path, name):
+    docs = pd.DataFrame({"doc_id": range(len(MISLEADING)), "text": MISLEADING})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()
+    sql = duckdb.connect()
+    sql.register("documents", docs)
+    want = sql.sql(catalogue.ORACLES[name]).df()
+    listed = lambda df: sorted(df[list(want.columns)].astype(object).where(df.notna(), None).itertuples(index=False, name=None), key=repr)
+    assert listed(got) == listed(want)
+
+
 def test_markdown(spark):
     """Hyphens, styles, notes, page marks, a subtitle, a slash, quotes of a scan, the front matter."""
     body = [(1, "Notes on it, first page to page"), (2, "next")]
