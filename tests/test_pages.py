@@ -210,7 +210,7 @@ def test_blocks_followed_in_batches(spark):
 MISLEADING = ["\n".join(["house and go on", "river of words"] * 60), "\n".join(["so vi", "Title", "to im"] * 40), "Internationalization\na b", "Title\nim\nvi", "im", "\n".join(["vi", "im"] * 50)]
 
 
-@pytest.mark.parametrize("name", ["pages_without_furniture", "paragraph_blocks"])
+@pytest.mark.parametrize("name", ["pages_without_furniture", "paragraph_blocks", "typeset_markdown"])
 def test_misleading_texts(spark, tmp_path, name):
     docs = pd.DataFrame({"doc_id": range(len(MISLEADING)), "text": MISLEADING})
     docs.to_parquet(tmp_path / "documents.parquet")
