@@ -337,3 +337,11 @@ def test_reading_errors_of_all_rows(spark):
     want = {i: distance(tidy(t), tidy(t.replace("the", "teh,"))) / max(len(tidy(t)), 1) for i, t in texts.items()}
     got = {r.name: r.cer for r in catalogue.reading_errors_all(spark, DATA).collect()}
     assert got == pytest.approx(want) and sum(not t.isascii() for t in texts.values()) == 13
+
+
+def test_vocabulary_in_one_pass(spark):
+    """Compounds give themselves and their parts; the rows are read once."""
+    rows = spark.createDataFrame([(1, "a Well-Known, «x» (Being -- well) -end- BEING z"), (1, "two words"), (2, "ΑΣ ΟΔΟΣ. Ω")], "doc_id long, text string")
+    found = render.vocabulary(rows)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "--", False), (1, "-end-", False), (1, "being", False), (1, "known", False), (1, "well", False), (1, "well-known", True), (1, "«x»", False), (2, "οδος", False)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
