@@ -1,7 +1,8 @@
 """Scans as tables of inked pixels (image_id, x, y): runs of columns, slants, rules, skew, and points of turned regions.
 
-A pixel is a row, so images of any size spread over tasks, and what is counted per column or line is combined before
-the shuffle. Only the search for a page's skew takes a whole page's ink in one group, whose size a page bounds.
+A pixel is a row. Runs deal the pixels by image, a bounded number a task (an image isn't parted, and what doesn't
+fit a task's memory is spilled); what is counted per line is combined before the shuffle. Only the search for a page's skew takes
+a whole page's ink in one group, whose size a page bounds.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ SLANTS = (-8, 24, 2)
 LEAST_HEIGHT, LEAST_WIDTH, LEAST_INK = 8, 4, 20
 # A rule's least length in inches and as a part of the width; rows of a line that may touch a rule; pixels and part of an inch that a rule may be thick.
 RULE_INCHES, RULE_PART, TOUCH, THICK, THICK_PART = 0.8, 12, 2, 3, 60
+# Fixed value: pixels of a task that seeks runs.
+RUN_PIXELS = 500_000
 # Degrees searched either way, coarse and fine steps, least ink, ink kept, bins an inch.
 SKEW, COARSE, FINE, SKEW_INK, SKEW_KEPT, SKEW_BINS = 5.0, 0.1, 0.01, 500, 200_000, 150
 
@@ -26,9 +29,15 @@ def islands(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     return rows.withColumn("island", F.col(at) - F.row_number().over(W.partitionBy(*keys).orderBy(at)))
 
 
+def by_image(pixels: DataFrame, each: int) -> DataFrame:
+    """pixels dealt by image over as many tasks as hold `each` pixels, so that a task's memory doesn't grow with the table."""
+    parts = max(-(-pixels.count() // each), pixels.sparkSession.sparkContext.defaultParallelism)
+    return pixels.repartition(parts, "image_id")
+
+
 def ink_runs(pixels: DataFrame) -> DataFrame:
     """image_id, c0, c1 (exclusive), top, bottom: unbroken runs of inked columns."""
-    columns = pixels.groupBy("image_id", "x").agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
+    columns = by_image(pixels.select("image_id", "x", "y"), RUN_PIXELS).groupBy("image_id", "x").agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
     runs = islands(columns, ["image_id"], "x").groupBy("image_id", "island")
     return runs.agg(F.min("x").alias("c0"), (F.max("x") + 1).alias("c1"), F.min("top").alias("top"), F.max("bottom").alias("bottom")).drop("island")
 

@@ -345,3 +345,14 @@ def test_vocabulary_in_one_pass(spark):
     found = render.vocabulary(rows)
     assert sorted(tuple(r) for r in found.collect()) == [(1, "--", False), (1, "-end-", False), (1, "being", False), (1, "known", False), (1, "well", False), (1, "well-known", True), (1, "«x»", False), (2, "οδος", False)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+@pytest.mark.parametrize("name", ["runs"])
+def test_ink_dealt_in_bounded_tasks(spark, monkeypatch, name):
+    """More pixels make more tasks, not larger ones."""
+    monkeypatch.setattr(ink, f"{name[:-1].upper()}_PIXELS", 50)
+    pixels = spark.range(1000).select((F.col("id") % 40).alias("image_id"), F.floor(F.col("id") / 40).alias("x"), F.lit(1).cast("long").alias("y"))
+    sizes = pixels.select("image_id").distinct().withColumn("width", F.lit(25)).withColumn("height", F.lit(11))
+    found = ink.ink_runs(pixels) if name == "runs" else ink.slants(pixels, sizes)
+    assert "REPARTITION_BY_NUM" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(image_id" in plan and ", 20)" in plan
+    assert found.count() == 40 and (name != "runs" or {(r.c0, r.c1) for r in found.collect()} == {(0, 25)})
