@@ -1,6 +1,6 @@
 """Scans as tables of inked pixels (image_id, x, y): runs of columns, slants, rules, skew, and points of turned regions.
 
-A pixel is a row. Runs deal the pixels by image, a bounded number a task (an image isn't parted, and what doesn't
+A pixel is a row. Runs and slants deal the pixels by image, a bounded number a task (an image isn't parted, and what doesn't
 fit a task's memory is spilled); what is counted per line is combined before the shuffle. Only the search for a page's skew takes
 a whole page's ink in one group, whose size a page bounds.
 """
@@ -18,8 +18,8 @@ SLANTS = (-8, 24, 2)
 LEAST_HEIGHT, LEAST_WIDTH, LEAST_INK = 8, 4, 20
 # A rule's least length in inches and as a part of the width; rows of a line that may touch a rule; pixels and part of an inch that a rule may be thick.
 RULE_INCHES, RULE_PART, TOUCH, THICK, THICK_PART = 0.8, 12, 2, 3, 60
-# Fixed value: pixels of a task that seeks runs.
-RUN_PIXELS = 500_000
+# Pixels of a task that seeks runs, and of one that seeks slants.
+RUN_PIXELS, SLANT_PIXELS = 500_000, 100_000
 # Degrees searched either way, coarse and fine steps, least ink, ink kept, bins an inch.
 SKEW, COARSE, FINE, SKEW_INK, SKEW_KEPT, SKEW_BINS = 5.0, 0.1, 0.01, 500, 200_000, 150
 
@@ -29,9 +29,10 @@ def islands(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     return rows.withColumn("island", F.col(at) - F.row_number().over(W.partitionBy(*keys).orderBy(at)))
 
 
-def by_image(pixels: DataFrame, each: int) -> DataFrame:
-    """pixels dealt by image over as many tasks as hold `each` pixels, so that a task's memory doesn't grow with the table."""
-    parts = max(-(-pixels.count() // each), pixels.sparkSession.sparkContext.defaultParallelism)
+def by_image(pixels: DataFrame, each: int, counted: DataFrame | None = None) -> DataFrame:
+    """pixels dealt by image over as many tasks as hold `each` pixels, so that a task's memory doesn't grow with the table.
+    counted: a table of as many rows that is cheaper to count."""
+    parts = max(-(-(pixels if counted is None else counted).count() // each), pixels.sparkSession.sparkContext.defaultParallelism)
     return pixels.repartition(parts, "image_id")
 
 
@@ -48,7 +49,9 @@ def slants(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     sizes: image_id, width, height. Of equally sharp slants the smallest is taken.
     """
     lo, hi, step = SLANTS
-    sheared = pixels.join(sizes, "image_id").withColumn("slant", F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))))
+    # Each pixel counts once for each slant, all of them in one task.
+    sized = pixels.select("image_id", "x", "y").join(sizes.select("image_id", "height"), "image_id")
+    sheared = by_image(sized, SLANT_PIXELS, pixels).withColumn("slant", F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))))
     column = F.col("x") - F.bround((F.col("height") - 1 - F.col("y")) * F.tan(F.radians("slant"))).cast("long")
     heights = sheared.groupBy("image_id", "slant", column.alias("column")).agg(F.count("*").alias("n"))
     sharp = heights.groupBy("image_id", "slant").agg(F.sum(F.col("n") * F.col("n")).alias("sharp"), F.sum("n").alias("ink"))

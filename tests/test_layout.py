@@ -347,7 +347,7 @@ def test_vocabulary_in_one_pass(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
 
 
-@pytest.mark.parametrize("name", ["runs"])
+@pytest.mark.parametrize("name", ["runs", "slants"])
 def test_ink_dealt_in_bounded_tasks(spark, monkeypatch, name):
     """More pixels make more tasks, not larger ones."""
     monkeypatch.setattr(ink, f"{name[:-1].upper()}_PIXELS", 50)
